@@ -1,0 +1,28 @@
+"""Revenue by nation and segment: the load, filter, join, aggregate and sort slice."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def revenue_by_nation_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    sold = read("lineitem").where(F.col("l_returnflag") != "R").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    orders = read("orders").select("o_orderkey", "o_custkey")
+    customers = read("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nations = read("nation").select("n_nationkey", "n_name")
+    joined = sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    grouped = joined.groupBy("c_nationkey", "c_mktsegment").agg(F.round(F.sum("net"), 2).alias("revenue"), F.count("*").alias("line_count"))
+    named = grouped.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.select("n_name", "c_mktsegment", "revenue", "line_count").orderBy("n_name", "c_mktsegment")
+
+
+QUERIES = {"revenue_by_nation_segment": revenue_by_nation_segment}
+ORACLE_SQL = {
+    "revenue_by_nation_segment": """
+        SELECT n_name, c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS line_count
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+        JOIN nation ON c_nationkey = n_nationkey
+        WHERE l_returnflag <> 'R' GROUP BY n_name, c_mktsegment ORDER BY n_name, c_mktsegment""",
+}
