@@ -161,9 +161,9 @@ def among(docs: DataFrame, ids: DataFrame, rows: int, how: str = "left_semi") ->
     return docs.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "doc_id", how)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, jaccard) of the pairs of at least the threshold, by the sets of hashed shingles."""
-    ids = Table(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct().join(reps.select("doc_id", "set_hash"), "doc_id"))
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, jaccard) of the pairs of at least the threshold, by the sets of hashed shingles; of repeated ids the likest rows count."""
+    ids = Table(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = split_words(column(batch, "text"))
@@ -172,10 +172,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: flo
         sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array((element >> np.uint64(12)).astype(np.uint32).view(np.int32)))
         return pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), sets], names=["doc_id", "size", "items"])
 
-    texts = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.df.select("doc_id"), ids.df.count())
+    texts = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.df, ids.df.count())
     sets = map_chunks(texts, "text", run, "doc_id long, size long, items array<int>")
-    # a doc_id of several texts: the one that was sketched has the size that its representative has, ties have one picked
-    sets = sets.join(reps.select("doc_id", F.col("n").alias("size")), ["doc_id", "size"]).dropDuplicates(["doc_id"]) if False else sets
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"i{x}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     common = F.size(F.array_intersect("iu", "iv"))
@@ -201,12 +199,12 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     shared = _bands(reps).select("bucket", "doc_id", F.min("doc_id").over(bucket).alias("hub"), F.max("doc_id").over(bucket).alias("top")).where("hub <> top")
     shared = write(shared.select("bucket", "doc_id", "hub"))
     stars = shared.where("doc_id <> hub")
-    first = write(_verified(write(_estimated(stars.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), reps, threshold)), docs, reps, threshold))
+    first = write(_verified(write(_estimated(stars.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct(), reps, threshold)), docs, threshold))
     # members that are not like the hub of their bucket are compared with all of its members
     failed = stars.join(first, (F.col("hub") == F.col("u")) & (F.col("doc_id") == F.col("v")), "left_anti").select("bucket", F.col("doc_id").alias("left"))
     rest = failed.join(shared.where("doc_id <> hub"), "bucket").where("left <> doc_id")
     rest = rest.select(F.least("left", "doc_id").alias("u"), F.greatest("left", "doc_id").alias("v")).distinct()
-    second = _verified(write(_estimated(rest, reps, threshold)), docs, reps, threshold)
+    second = _verified(write(_estimated(rest, reps, threshold)), docs, threshold)
     edges = twins.unionAll(first.select("u", "v")).unionAll(second.select("u", "v"))
     groups = write(components(edges))
     return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"), F.count("*").over(Window.partitionBy("root")).alias("group_size"))
