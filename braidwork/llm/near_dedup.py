@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._graph import components
+from ._names import unused
 from ._store import Table, write
 from ._words import Words, column, gram_hashes, map_chunks, mix, split_words
 
@@ -224,19 +225,11 @@ def drop_near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD) -> Da
         return kept
     once = among(kept, repeated, n, "left_anti")
     place = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    mark = _unused("row_of_id", docs.columns)
+    mark = unused("row_of_id", docs.columns)
     several = among(kept, repeated, n).withColumn(mark, F.row_number().over(place)).where(F.col(mark) == 1).drop(mark)
     return once.unionByName(several)
 
 
-def _unused(name: str, columns: list[str]) -> str:
-    """The name, made longer until no column has it in any case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
