@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, sharding, toxicity
+from . import decontamination, licenses, mixing, near_dedup, sharding, toxicity, url_filters
 
-MODULES = (decontamination, mixing, toxicity, sharding, near_dedup)
+MODULES = (decontamination, mixing, licenses, toxicity, url_filters, sharding, near_dedup)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
