@@ -147,6 +147,8 @@ def map_chunks(df: DataFrame, text: str, function: Callable[[pa.RecordBatch], pa
                 made = function(part)
                 if made is not None and made.num_rows:
                     yield made
+                made = None
+            pa.default_memory_pool().release_unused()  # workers are kept: what one task held is not the next one's
 
     return df.mapInArrow(run, schema)
 

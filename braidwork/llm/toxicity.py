@@ -139,18 +139,19 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000, min
         size = w.end - w.start
         key = np.unique(np.stack([w.doc.astype(np.uint64), w.hash]), axis=1, return_index=True)[1] if len(w.doc) else []
         raw = w.buffer.tobytes()
-        stems: dict[tuple[int, str], set[str]] = {}
+        at, stems = -1, set()  # the stems of one document at a time
         for i in key:
             if size[i] > 40 or size[i] < 3:
                 continue
             word, d = raw[w.start[i] : w.end[i]].decode("utf-8", "replace"), int(w.doc[i])
+            if d != at:
+                at, stems = d, set()
             out.setdefault(("word", word), [0, 0])[1 if bad[d] else 0] += 1
             for k in (4, 5, 6):
                 stem = word[:k]
-                if len(word) > k and len(stem.encode()) <= 8:
-                    stems.setdefault((d, stem), set()).add(word)
-        for (d, stem), _ in stems.items():
-            out.setdefault(("stem", stem), [0, 0])[1 if bad[d] else 0] += 1
+                if len(word) > k and stem not in stems and len(stem.encode()) <= 8:
+                    stems.add(stem)
+                    out.setdefault(("stem", stem), [0, 0])[1 if bad[d] else 0] += 1
         rows_ = [(k, t, n[0], n[1]) for (k, t), n in out.items()]
         if not rows_:
             return None
