@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import first_slice
+from . import analytics, columns, custom, pipelines, relational, streams
 
-MODULES = (first_slice,)
+BOOKS = (relational.BOOK, analytics.BOOK, columns.BOOK, custom.BOOK, streams.BOOK, pipelines.BOOK)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for b in BOOKS for name, f in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
+    return {name: sql for b in BOOKS for name, sql in b.sql.items()}
