@@ -76,25 +76,28 @@ def lookup_join(df: DataFrame, relation: DataFrame, keys: Sequence[str], *, how:
         tied = relation.groupBy(*keys).agg((F.max if latest_by else F.min)(by).alias("best_")).join(relation.select(*keys, by), keys).where(F.col("best_") == F.col(by))
         tied = tied.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         place = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(by) if latest_by else F.asc_nulls_last(by))
-        relation = _with_guard(relation.withColumn("place_", F.row_number().over(place)).where("place_ = 1").drop("place_"), tied, "TIE", f"equal {by} for a key")
+        relation = relation.withColumn("place_", F.row_number().over(place)).where("place_ = 1").drop("place_")
+        # on the result: an outer join whose right side nobody reads is optimised away
+        return _with_guard(df.join(_hinted(relation, strategy), keys, how), tied, "TIE", f"equal {by} for a key")
     return df.join(_hinted(relation, strategy), keys, how)
 
 
 def temporal_one(df: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, valid_from: str, valid_to: str, *, how: str = "left", check_overlaps: bool = True) -> DataFrame:
     """The version of each row's keys that is valid at its time: valid_from <= at < valid_to, a null valid_to is open. Overlapping versions raise."""
     keys = list(keys)
+    overlaps = None
     if check_overlaps:
         order = Window.partitionBy(*keys).orderBy(valid_from)
         earlier = F.max(F.coalesce(F.col(valid_to), F.lit("9999-12-31").cast("timestamp"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
         overlaps = versions.withColumn("before_", earlier).where(F.col("before_") > F.col(valid_from))
-        versions = _with_guard(versions, overlaps, "OVERLAP", "versions of a key overlap")
     renamed = versions.select(*[F.col(k).alias(f"{k}_v_") for k in keys], *[c for c in versions.columns if c not in keys])
     same = [F.col(k) == F.col(f"{k}_v_") for k in keys]
     valid = (F.col(valid_from) <= F.col(at)) & (F.col(valid_to).isNull() | (F.col(at) < F.col(valid_to)))
     on = valid
     for s in reversed(same):
         on = s & on
-    return df.join(renamed, on, how).drop(*[f"{k}_v_" for k in keys])
+    joined = df.join(renamed, on, how).drop(*[f"{k}_v_" for k in keys])
+    return joined if overlaps is None else _with_guard(joined, overlaps, "OVERLAP", "versions of a key overlap")
 
 
 def as_of_one(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, *, direction: str = "backward", tolerance: str | None = None, how: str = "left") -> DataFrame:
