@@ -44,15 +44,15 @@ def epochs(docs: DataFrame, targets: Mapping[str, float], *, default_weight: flo
     sizes = docs.groupBy("source").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("double").alias("chars")).withColumn("weight", weight)
     # one row a source: the sorted pass is over as many rows as there are sources
     live = (F.col("chars") > 0) & (F.col("weight") > 0)
-    ordered = Window.partitionBy("live").orderBy(F.col("chars") * max_epochs / F.col("weight"), "source")
+    ordered = Window.partitionBy("live").orderBy(F.try_divide(F.col("chars") * max_epochs, "weight"), "source")
     everything = Window.partitionBy(F.lit(0))
     first = sizes.withColumn("live", live).withColumn("total", F.lit(float(budget)) if budget is not None else F.sum("chars").over(everything))
     before = F.coalesce(F.sum(F.col("chars") * max_epochs).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     left = F.sum("weight").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    levels = first.withColumn("level", F.when(F.col("live"), (F.col("total") - before) / left))
+    levels = first.withColumn("level", F.when(F.col("live"), F.try_divide(F.col("total") - before, left)))
     clamped = F.col("live") & (F.col("chars") * max_epochs <= F.col("level") * F.col("weight"))
-    level = F.min(F.when(F.col("live") & ~F.col("clamped"), F.struct(F.col("chars") * max_epochs / F.col("weight"), F.col("source"), F.col("level")))).over(everything)["level"]
-    rate = F.when(~F.col("live"), 0.0).when(F.col("clamped"), float(max_epochs)).otherwise(F.least(F.lit(float(max_epochs)), F.col("water") * F.col("weight") / F.col("chars")))
+    level = F.min(F.when(F.col("live") & ~F.col("clamped"), F.struct(F.try_divide(F.col("chars") * max_epochs, "weight"), F.col("source"), F.col("level")))).over(everything)["level"]
+    rate = F.when(~F.col("live"), 0.0).when(F.col("clamped"), float(max_epochs)).otherwise(F.least(F.lit(float(max_epochs)), F.try_divide(F.col("water") * F.col("weight"), "chars")))
     return levels.withColumn("clamped", clamped).withColumn("water", level).select("source", "chars", "weight", F.round(rate, DECIMALS).alias("epochs"), "clamped")
 
 
