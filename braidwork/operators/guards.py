@@ -45,7 +45,8 @@ def exactly_one(df: DataFrame) -> DataFrame:
     return _with_guard(df, few, "NOT_ONE_ROW", "the relation doesn't have exactly one row")
 
 
-def require_no_ties(df: DataFrame, partition_by: list[str], order_by: list[str]) -> DataFrame:
-    """df, whose partitions have no two rows with equal order keys."""
-    tied = df.groupBy(*partition_by, *order_by).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _with_guard(df, tied, "TIE", f"equal {', '.join(order_by)} within {', '.join(partition_by)}")
+def best_ties(df: DataFrame, keys: list[str], by: str, latest: bool) -> DataFrame:
+    """The keys whose greatest (or least) value several rows have. Two aggregates, the second over what the first has left; df isn't joined."""
+    counted = df.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("n_"))
+    best = (F.max_by if latest else F.min_by)("n_", by)
+    return counted.groupBy(*keys).agg(F.coalesce(best, F.max("n_")).alias("n_")).where("n_ > 1")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .guards import _with_guard, exactly_one
+from .guards import _with_guard, best_ties, exactly_one
 
 STRATEGIES = {"broadcast_hash": "broadcast", "shuffle_hash": "shuffle_hash", "sort_merge": "merge", "shuffle_replicate_nl": "shuffle_replicate_nl"}
 HOW = ("left", "inner", "right", "full", "cross")
@@ -73,8 +73,7 @@ def lookup_join(df: DataFrame, relation: DataFrame, keys: Sequence[str], *, how:
     if latest_by and earliest_by:
         raise ValueError("latest_by or earliest_by, not both")
     if by := latest_by or earliest_by:
-        tied = relation.groupBy(*keys).agg((F.max if latest_by else F.min)(by).alias("best_")).join(relation.select(*keys, by), keys).where(F.col("best_") == F.col(by))
-        tied = tied.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        tied = best_ties(relation, keys, by, bool(latest_by))
         place = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(by) if latest_by else F.asc_nulls_last(by))
         relation = relation.withColumn("place_", F.row_number().over(place)).where("place_ = 1").drop("place_")
         # on the result: an outer join whose right side nobody reads is optimised away

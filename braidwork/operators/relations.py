@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .guards import _with_guard
+from .guards import _with_guard, best_ties
 
 
 def where(df: DataFrame, *predicates: Column) -> DataFrame:
@@ -59,12 +59,7 @@ def _one(df: DataFrame, by: str, partition_by: Sequence[str], latest: bool, ties
     one = df.withColumn("place_", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("place_ = 1").drop("place_")
     if ties == "any":
         return one
-    best = df.groupBy(*keys).agg((F.max if latest else F.min)(by).alias("best_"), F.max_by(F.lit(1), F.lit(1)).alias("drop_")).drop("drop_")
-    same = [F.col(f"l_.{k}").eqNullSafe(F.col(f"r_.{k}")) for k in keys]
-    on = F.col(f"l_.{by}").eqNullSafe(F.col("r_.best_"))
-    for s in same:
-        on &= s
-    tied = df.alias("l_").join(best.alias("r_"), on, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    tied = best_ties(df, keys, by, latest)
     return _with_guard(one, tied, "TIE", f"equal {by} within {', '.join(keys)}")
 
 
