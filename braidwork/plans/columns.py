@@ -183,3 +183,29 @@ def explode_structs(t: Tables) -> DataFrame:
     rows = F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")))
     out = G.explode_struct(t.customer.groupBy("c_nationkey").agg(rows.alias("r")), "r", "s")
     return out.where("s.balance > 5000").select("c_nationkey", "s.id")
+
+
+@BOOK.query("""SELECT n_nationkey, 'key' AS k, n_nationkey AS v FROM nation WHERE n_regionkey > 1 UNION ALL SELECT n_nationkey, NULL, NULL FROM nation WHERE n_regionkey <= 1""")
+def explode_outer_map(t: Tables) -> DataFrame:
+    m = F.when(F.col("n_regionkey") > 1, F.create_map(F.lit("key"), F.col("n_nationkey")))
+    return G.explode_map(t.nation.select("n_nationkey", m.alias("m")), "m", "k", "v", outer=True).select("n_nationkey", "k", "v")
+
+
+@BOOK.query("""SELECT c_nationkey, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place FROM customer""")
+def posexplode_structs(t: Tables) -> DataFrame:
+    rows = F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))))
+    return G.explode_struct(t.customer.groupBy("c_nationkey").agg(rows.alias("r")), "r", "s", ordinal="place").select("c_nationkey", "s.id", "place")
+
+
+@BOOK.query("""SELECT n_nationkey, c_custkey AS id FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9000) ON c_nationkey = n_nationkey""")
+def inline_outer_structs(t: Tables) -> DataFrame:
+    rows = t.customer.where("c_acctbal > 9000").groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("id"))).alias("r"))
+    joined = t.nation.join(rows, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return G.inline_struct(joined, "r", outer=True).select("n_nationkey", "id")
+
+
+@BOOK.query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 'k' END AS key, CASE WHEN event_type = 'click' THEN (props::JSON->>'$.k')::INT END AS value FROM events""")
+def variant_explode_outer(t: Tables) -> DataFrame:
+    v = F.when(F.col("event_type") == "click", D.parse_json(F.col("props")))
+    out = G.variant_explode(t.events.select("event_id", v.alias("v")), "v", outer=True)
+    return out.select("event_id", "key", D.try_variant_get(F.col("value"), "$", as_type="int").alias("value"))

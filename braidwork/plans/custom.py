@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import udfs
 from ..operators import guards as G
 from ..operators import hierarchy as H
 from ..operators import scan as S
 from ..sources import readers
+from . import compose
 from .book import Book, Tables
 
 BOOK = Book()
@@ -104,3 +108,34 @@ def projected_from_sources(t: Tables) -> DataFrame:
     n, r = t.nation.alias("n"), t.region.alias("r")
     target = readers.merge_schemas(t.nation.select("n_nationkey", "n_name").schema, t.region.select("r_name").schema)
     return readers.from_sources(target, {"n": t.nation, "r": t.region}, n.join(r, F.col("n_regionkey") == F.col("r_regionkey")))
+
+
+@BOOK.query("SELECT p_partkey, length(p_name) * 2 + 1 AS odd, 'P-' || upper(p_brand) AS tag FROM part")
+def arrow_udfs(t: Tables) -> DataFrame:
+    odd = udfs.vectorised("long")(lambda s: s.str.len() * 2 + 1)
+    tag = udfs.scalar("string")(lambda b: None if b is None else "P-" + b.upper())
+    return t.part.select("p_partkey", odd("p_name").alias("odd"), tag("p_brand").alias("tag"))
+
+
+@BOOK.query("""WITH m AS (SELECT p_partkey, p_size + 1.0 AS a, 2.0 AS b, p_partkey % 7 AS c, p_retailprice AS d FROM part)
+    SELECT p_partkey, unnest([0, 0, 1, 1])::BIGINT AS i, unnest([0, 1, 0, 1])::BIGINT AS j, unnest([round(d / (a * d - b * c), 9), round(-b / (a * d - b * c), 9), round(-c / (a * d - b * c), 9), round(a / (a * d - b * c), 9)]) AS x FROM m""")
+def matrix_inversion(t: Tables) -> DataFrame:
+    """Inverts each part's matrix of cells (i, j, x), many matrices a batch."""
+    cells = F.array(F.array(F.col("p_size") + 1.0, F.lit(2.0)), F.array((F.col("p_partkey") % 7).cast("double"), F.col("p_retailprice")))
+
+    def invert(batches):
+        for pdf in batches:
+            inverse = np.linalg.inv(np.array([[list(r) for r in m] for m in pdf["m"]], dtype=float)) if len(pdf) else np.zeros((0, 2, 2))
+            n, k, _ = inverse.shape
+            yield pd.DataFrame({"p_partkey": np.repeat(pdf["p_partkey"].to_numpy(), k * k), "i": np.tile(np.repeat(np.arange(k), k), n), "j": np.tile(np.arange(k), n * k), "x": inverse.ravel().round(9)})
+
+    return t.part.select("p_partkey", cells.alias("m")).mapInPandas(invert, "p_partkey long, i long, j long, x double")
+
+
+@BOOK.query("""SELECT c_mktsegment, count(*) AS big, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000 GROUP BY c_mktsegment""")
+def step_graph(t: Tables) -> DataFrame:
+    graph = compose.Graph(
+        split=lambda orders: {"big": orders.where("o_totalprice > 200000"), "rest": orders.where("o_totalprice <= 200000")},
+        report=lambda split, customer: split["big"].join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count("*").alias("big"), F.round(F.sum("o_totalprice"), 2).alias("total")),
+    )
+    return graph.run(orders=t.orders, customer=t.customer)["report"]

@@ -109,3 +109,25 @@ def stream_union(t: Tables) -> DataFrame:
     S.admit(S.Shape("union_all", other_streaming=True))
     events = _events(t)
     return _run(t, events.where("event_type = 'click'").select("event_id").unionAll(events.where("event_type = 'view'").select("event_id")), S.APPEND)
+
+
+@BOOK.query("""WITH v AS (SELECT * FROM events WHERE event_type = 'view'), c AS (SELECT * FROM events WHERE event_type = 'click')
+    SELECT epoch(time_bucket(INTERVAL 1 DAY, v.ts))::BIGINT AS day, count(*) AS clicks FROM v JOIN c ON v.user_id = c.user_id AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 1 HOUR GROUP BY 1""")
+def stream_click_model(t: Tables) -> DataFrame:
+    """Impressions and clicks, each without repeats, joined within an hour; the matches are counted by day of the impression, as a batch."""
+    dedupe = lambda df, time: S.watermark(df, time, delay="40 days").dropDuplicatesWithinWatermark(["event_id"])
+    views = dedupe(_events(t).where("event_type = 'view'").select("event_id", "user_id", "ts"), "ts")
+    views = _run(t, views, S.APPEND)
+    clicks = _events(t).where("event_type = 'click'").select(F.col("event_id").alias("click_id"), F.col("user_id").alias("who"), F.col("ts").alias("at"))
+    matched = _run(t, clicks.join(views, (F.col("user_id") == F.col("who")) & S.event_time_between(F.col("ts"), F.col("at"), upper="1 hour")), S.APPEND)
+    return matched.groupBy(F.unix_seconds(F.date_trunc("day", "ts")).alias("day")).agg(F.count("*").alias("clicks"))
+
+
+@BOOK.query("SELECT event_type, user_id, count(*) AS n, epoch_us(max(ts)) AS last_, epoch_us(min(ts)) AS first_ FROM events JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY ALL")
+def stream_progress(t: Tables) -> DataFrame:
+    """Enriched by a table, then progress by key in complete mode."""
+    S.admit(S.Shape("join", how="left_semi"))
+    S.admit(S.Shape("key_aggregate", output=S.COMPLETE))
+    ours = _events(t).join(t.customer.where("c_mktsegment = 'BUILDING'"), F.col("user_id") == F.col("c_custkey"), "left_semi")
+    out = _run(t, ours.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_"), F.min("ts").alias("first_")), S.COMPLETE)
+    return out.select("event_type", "user_id", "n", F.unix_micros("last_").alias("last_"), F.unix_micros("first_").alias("first_"))
