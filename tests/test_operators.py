@@ -187,3 +187,18 @@ def test_session_stream_equals_batch(spark, tmp_path):
     T.to_memory(made, "sessions_", f"file://{tmp_path}/checkpoint").awaitTermination()
     want = T.sessions(df, "ts", "10 minutes", "user", metrics={"n": F.count("*")}).where("user < 9")
     assert sorted(map(str, spark.table("sessions_").collect())) == sorted(map(str, want.collect()))
+
+
+def test_step_graphs(spark, pairs):
+    from braidwork.plans import compose
+
+    graph = compose.Graph(b=lambda a: a.where("k = 1"), c=lambda b, pairs: b.unionAll(pairs), a=lambda pairs: pairs.where("v is not null"))
+    assert graph.order({"pairs": pairs}) == ["a", "b", "c"]
+    assert graph.run(pairs=pairs)["c"].count() == 5
+    assert graph.extend(a=lambda pairs: pairs).run(pairs=pairs)["b"].count() == 2
+    with pytest.raises(compose.GraphError, match="no pairs"):
+        graph.run()
+    with pytest.raises(compose.GraphError, match="cycle"):
+        compose.Graph(x=lambda y: y, y=lambda x: x).run()
+    assert compose.chain(lambda df: df.where("k = 1"), lambda df: df.limit(1))(pairs).count() == 1
+    assert "Filter" in compose.plan_text(pairs.where("k = 1"))
