@@ -34,3 +34,17 @@ def test_registry_has_all_ten_and_the_pipeline():
     names = set(__spark_entry__.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_stages_take_odd_and_empty_tables(spark, folder):
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, "en", "a", None), (2, "", None, "a", 0), (3, long, "en", None, 5), (None, "no id here", "en", "b", 1), (4, "word", "en", "b", 4), (4, "word", "en", "b", 4), (5, long, "en", "c", 5), (None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("shard", F.lit(None).cast("string")).withColumn("Mix_Copies", F.lit(1)).withColumn("row_of_id", F.lit(2))
+    left = {"toxicity": 8, "near duplicates": 6, "decontamination": 8, "sharding": 8}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, folder)
+        assert out.columns[: len(odd.columns)] == odd.columns
+        assert out.count() == left.get(name, out.count())
+        assert stage(spark, odd.limit(0), folder).count() == 0
