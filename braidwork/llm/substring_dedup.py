@@ -5,8 +5,8 @@ WINDOW words that begin at an anchor: the word pair with the least hash among an
 on the words alone, so two documents that share WINDOW + STRIDE - 1 (49) words in a row share a whole paragraph, wherever it stands.
 
 Paragraphs are sets of word pairs. Band hashes of their MinHash values are joined; paragraphs of equal words are one
-node, and of each bucket all nodes are compared with the least, the ones that fail with all others. Pairs are verified by
-the exact Jaccard similarity of their sets. Components of the nodes are the repeated passages: the document with the least id
+node, and of each bucket all nodes are compared with the least, the ones that are unlike it again among their own kind. Pairs are
+verified by the exact Jaccard similarity of their sets. Components of the nodes are the repeated passages: the document with the least id
 keeps its copies, the others' are removals, merged to spans of words.
 """
 
@@ -26,8 +26,8 @@ from .near_dedup import among
 WINDOW = 26
 STRIDE = 24
 THRESHOLD = 0.8
-#: Share of the pairs at the threshold that should collide in some band.
-RECALL = 0.8
+#: Share of the paragraph pairs at the threshold that should collide in some band; a passage has several paragraphs, equal ones always collide.
+RECALL = 0.75
 MAX_HASHES = 12
 _B = 0x9E3779B185EBCA87
 
@@ -39,7 +39,9 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = MAX
     return min(sure, key=lambda x: (-x[1], x[0])) if sure else max(all_, key=lambda x: 1 - (1 - threshold ** x[1]) ** x[0])
 
 
-BANDS, ROWS = 3, 4
+BANDS, ROWS = tune()
+#: How often members of a bucket that are unlike its least are compared again, among their own kind.
+ROUNDS = 3
 
 
 def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -133,16 +135,34 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("content", F.array_distinct("items").alias("items"))
 
 
-def _verified(pairs: DataFrame, where: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) of contents with at least the threshold of Jaccard similarity."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("content")).distinct()
-    sets = write(_sets(where.join(ids, "content"), docs).dropDuplicates(["content"]))
     side = lambda x: sets.select(F.col("content").alias(x), F.col("items").alias(f"i{x}"))
     common = F.size(F.array_intersect("iu", "iv"))
     joined = pairs.join(side("u"), "u").join(side("v"), "v")
     return joined.where(common / (F.size("iu") + F.size("iv") - common) >= threshold).select("u", "v")
 
 
+def _near(members: DataFrame, where: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Verified pairs (u, v) of the (bucket, content) that share a bucket with another content.
+
+    Every member is compared with the least of its bucket. Members that are unlike it go on to a bucket of their own kind: the
+    bucket is divided by one more MinHash value, another in each round, and they are compared with the least of
+    that. So the cost is a fixed number of comparisons for each member, also where thousands of variants of a passage meet.
+    """
+    sets = write(_sets(where.join(members.select("content").distinct(), "content"), docs).dropDuplicates(["content"]))
+    least = Window.partitionBy("bucket", "kind")
+    found = None
+    for seed in range(ROUNDS + 1):
+        kind = F.lit(0).cast("long") if not seed else F.array_min(F.transform("items", lambda x: F.xxhash64(x, F.lit(seed))))
+        kinds = sets.select("content", kind.alias("kind"))
+        compared = write(members.join(kinds, "content").select("bucket", "content", F.min("content").over(least).alias("hub")))
+        alike = write(_alike(compared.where("content <> hub").select(F.col("hub").alias("u"), F.col("content").alias("v")).distinct(), sets, threshold))
+        found = alike if found is None else found.unionAll(alike)
+        members = compared.join(alike, (F.col("hub") == F.col("u")) & (F.col("content") == F.col("v")), "left_anti").where("content <> hub").select("bucket", "content")
+    return found
+
+
 def repeated_passages(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, word, words, kept_ids): spans of words that a document with a lesser id has too.
 
@@ -152,16 +172,12 @@ def repeated_passages(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataF
     empty table gives no rows.
     """
     bucket = Window.partitionBy("bucket")
-    spread = band_rows(docs).select("*", F.min("doc_id").over(bucket).alias("lo"), F.max("doc_id").over(bucket).alias("hi"), F.min("content").over(bucket).alias("hub"))
-    shared = write(spread.where("lo <> hi").select("bucket", "content", "doc_id", "word", "hub"))
+    spread = band_rows(docs).select("*", F.min("doc_id").over(bucket).alias("lo"), F.max("doc_id").over(bucket).alias("hi"), F.min("content").over(bucket).alias("hub"), F.max("content").over(bucket).alias("top"))
+    shared = write(spread.where("lo <> hi").select("bucket", "content", "doc_id", "word", "hub", "top"))
     nodes = write(shared.groupBy("content").agg(F.min(F.struct("doc_id", "word")).alias("at"), F.max("doc_id").alias("last")))
     where = nodes.select("content", "at.doc_id", "at.word")
-    members = write(shared.where("content <> hub").select("bucket", "content", "hub").distinct())
-    first = write(_verified(members.select(F.col("hub").alias("u"), F.col("content").alias("v")).distinct(), where, docs, threshold))
-    failed = members.join(first, (F.col("hub") == F.col("u")) & (F.col("content") == F.col("v")), "left_anti").select("bucket", F.col("content").alias("left"))
-    rest = failed.join(members.select("bucket", "content"), "bucket").where("left <> content")
-    second = _verified(rest.select(F.least("left", "content").alias("u"), F.greatest("left", "content").alias("v")).distinct(), where, docs, threshold)
-    roots = write(components(first.unionAll(second)))
+    members = write(shared.where("hub <> top").select("bucket", "content").distinct())
+    roots = write(components(_near(members, where, docs, threshold).distinct()))
     found = shared.select("content", "doc_id", "word").distinct()
     # contents that one document has and that are like no other stay out before anything is sorted
     alone = nodes.where("at.doc_id = last").select("content").join(roots.select(F.col("id").alias("content")), "content", "left_anti")
