@@ -249,8 +249,9 @@ def test_passages_of_50_words_are_found(spark):
     assert all(1 + 2 * (r.doc_id // 2 % 4) in r.kept_ids for r in got)
     texts = {i: plain(t) for i, t, _ in rows}
     for r in got:
-        run, other = texts[r.doc_id][r.word : r.word + r.words], " ".join(texts[r.kept_ids[0]])
-        assert " ".join(run) in other and r.words >= substring_dedup.WINDOW
+        run, other = texts[r.doc_id][r.word : r.word + r.words], texts[r.kept_ids[0]]
+        common = set(zip(run, run[1:])) & set(zip(other, other[1:]))  # a paragraph over the edge may be alike enough
+        assert len(common) >= substring_dedup.THRESHOLD * (len(run) - 1) and r.words >= substring_dedup.WINDOW
 
 
 def test_near_passages_are_one_cluster(spark):
