@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _WORD = np.zeros(256, dtype=bool)

@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays of the training text.
 
-Training text is cut into shards of whole documents (a few MB each). Each shard's word suffixes are sorted into a suffix
+Training text is cut into shards of whole documents (about 1 MB each). Each shard's word suffixes are sorted into a suffix
 array, by blocks of four 16-bit word codes, as deep as the shortest match that counts. Every suffix of every benchmark
 item is then binary-searched in every shard; all training suffixes in the range found are extended word by word on
 64-bit word hashes to the longest verbatim match (verbatim up to case and punctuation). There is no shuffle but the one
