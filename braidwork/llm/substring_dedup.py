@@ -5,9 +5,9 @@ WINDOW words that begin at an anchor: the word pair with the least hash among an
 on the words alone, so two documents that share WINDOW + STRIDE - 1 (49) words in a row share a whole paragraph, wherever it stands.
 
 Paragraphs are sets of word pairs. Band hashes of their MinHash values are joined; paragraphs of equal words are one
-node, and of each bucket all nodes are compared with the least, the ones that are unlike it again among their own kind. Pairs are
-verified by the exact Jaccard similarity of their sets. Components of the nodes are the repeated passages: the document with the least id
-keeps its copies, the others' are removals, merged to spans of words.
+node, and all nodes of a bucket are compared with each other by the exact Jaccard similarity of their sets. Components of the
+nodes are the repeated passages: the document with the least id keeps its copies, the others' are removals, merged to
+spans of words.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from ._graph import components
 from ._store import Table, write
 from ._words import Words, column, map_chunks, mix, split_words
-from .near_dedup import among
+from .near_dedup import BROADCAST_ROWS, among
 
 WINDOW = 26
 STRIDE = 24
@@ -40,8 +40,8 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = MAX
 
 
 BANDS, ROWS = tune()
-#: How often members of a bucket that are unlike its least are compared again, among their own kind.
-ROUNDS = 3
+#: Buckets of more members are compared in parts of about so many; up to FEW members are compared pair by pair.
+BLOCK, FEW = 4096, 64
 
 
 def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -135,32 +135,112 @@ def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("content", F.array_distinct("items").alias("items"))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) of contents with at least the threshold of Jaccard similarity."""
-    side = lambda x: sets.select(F.col("content").alias(x), F.col("items").alias(f"i{x}"))
-    common = F.size(F.array_intersect("iu", "iv"))
-    joined = pairs.join(side("u"), "u").join(side("v"), "v")
-    return joined.where(common / (F.size("iu") + F.size("iv") - common) >= threshold).select("u", "v")
+def _all_pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of the same group, of groups of so many rows that lie one behind the other."""
+    n = size.sum()
+    end = np.repeat(np.cumsum(size), size)
+    count = end - np.arange(n) - 1
+    u = np.repeat(np.arange(n), count)
+    return u, np.arange(len(u)) - np.repeat(np.cumsum(count) - count, count) + u + 1
+
+
+def _jaccard(items: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of pairs of rows; behind its size each row is padded with the number of the column, below all items."""
+    both = np.sort(np.concatenate([items[u], items[v]], axis=1), axis=1)
+    common = (both[:, 1:] == both[:, :-1]).sum(1) - (items.shape[1] - np.maximum(size[u], size[v]))
+    return common / (size[u] + size[v] - common)
+
+
+def _forest(items: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of alike rows that join the same rows as all the alike pairs do: what is joined already isn't looked for again."""
+    n = len(items)
+    real = np.arange(items.shape[1]) < size[:, None]
+    row = np.nonzero(real)[0]
+    _, at, n_of = np.unique(items[real], return_inverse=True, return_counts=True)
+    posting, first = row[np.argsort(at, kind="stable")], np.cumsum(n_of) - n_of
+    own = np.split(at, np.cumsum(size)[:-1])
+    free = np.ones(n, dtype=bool)
+    u, v = [], []
+    for root in np.argsort(-np.bincount(row, n_of[at], n), kind="stable"):
+        todo = [root] if free[root] else []
+        free[root] = False
+        while todo:
+            x = todo.pop()
+            common = np.bincount(np.concatenate([posting[first[i] : first[i] + n_of[i]] for i in own[x]]), minlength=n)
+            found = np.flatnonzero(free & (common / (size + size[x] - common) >= threshold))
+            free[found] = False
+            u.append(np.full(len(found), x))
+            v.append(found)
+            todo += found.tolist()
+    return np.concatenate(u), np.concatenate(v)
+
+
+def _joined(bucket: np.ndarray, items: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of alike rows in one bucket, enough of them to join all that are alike; rows are sorted by bucket."""
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    n = np.diff(edge)
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    few = np.flatnonzero((n > 1) & (n <= FEW))
+    for part in np.split(few, np.arange(256, len(few), 256)):
+        rows = np.concatenate([np.arange(edge[g], edge[g + 1]) for g in part]) if len(part) else np.zeros(0, np.int64)
+        a, b = _all_pairs(n[part])
+        for at in range(0, len(a), 50_000):
+            x, y = rows[a[at : at + 50_000]], rows[b[at : at + 50_000]]
+            near = _jaccard(items, size, x, y) >= threshold
+            u.append(x[near])
+            v.append(y[near])
+    for g in np.flatnonzero(n > FEW):
+        own = slice(edge[g], edge[g + 1])
+        a, b = _forest(items[own], size[own], threshold)
+        u.append(a + edge[g])
+        v.append(b + edge[g])
+    return np.concatenate(u), np.concatenate(v)
 
 
 def _near(members: DataFrame, where: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Verified pairs (u, v) of the (bucket, content) that share a bucket with another content.
 
-    Every member is compared with the least of its bucket. Members that are unlike it go on to a bucket of their own kind: the
-    bucket is divided by one more MinHash value, another in each round, and they are compared with the least of
-    that. So the cost is a fixed number of comparisons for each member, also where thousands of variants of a passage meet.
+    All members of a bucket are compared with each other, but for those that others have joined already, so the components are
+    those of all pairs. The sets travel to the buckets and only the pairs that join come back. A bucket of more than
+    BLOCK members is divided, and each two of its parts meet in a task of their own.
     """
-    sets = write(_sets(where.join(members.select("content").distinct(), "content"), docs).dropDuplicates(["content"]))
-    least = Window.partitionBy("bucket", "kind")
-    found = None
-    for seed in range(ROUNDS + 1):
-        kind = F.lit(0).cast("long") if not seed else F.array_min(F.transform("items", lambda x: F.xxhash64(x, F.lit(seed))))
-        kinds = sets.select("content", kind.alias("kind"))
-        compared = write(members.join(kinds, "content").select("bucket", "content", F.min("content").over(least).alias("hub")))
-        alike = write(_alike(compared.where("content <> hub").select(F.col("hub").alias("u"), F.col("content").alias("v")).distinct(), sets, threshold))
-        found = alike if found is None else found.unionAll(alike)
-        members = compared.join(alike, (F.col("hub") == F.col("u")) & (F.col("content") == F.col("v")), "left_anti").where("content <> hub").select("bucket", "content")
-    return found
+    sets = _sets(where.join(members.select("content").distinct(), "content"), docs).dropDuplicates(["content"])
+    large = write(members.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).alias("parts")))
+    n = large.count()
+    blocks = members.withColumn("block", F.lit(0).cast("long"))
+    if n:
+        part = F.pmod(F.xxhash64("content"), "parts")
+        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda i: F.least(i, part) * F.col("parts") + F.greatest(i, part))
+        split = members.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "bucket")
+        split = split.select("bucket", "content", F.explode(F.array_except(others, F.array(part * F.col("parts") + part))).alias("block"))
+        blocks = blocks.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "bucket", "left_anti").unionByName(split)
+    rows = blocks.join(sets, "content").select(F.xxhash64("bucket", "block").alias("bucket"), "content", "items")
+
+    def run(batches):
+        def out(bucket, content, items, size):
+            u, v = _joined(bucket, items, size, threshold)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(content[u], content[v])), pa.array(np.maximum(content[u], content[v]))], names=["u", "v"])
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = column(batch, "items")
+            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            items = np.tile(np.arange(WINDOW - 1) - (1 << 40), (len(size), 1))
+            items[np.arange(WINDOW - 1) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+            held.append((column(batch, "bucket").to_numpy(zero_copy_only=False), column(batch, "content").to_numpy(zero_copy_only=False), items, size))
+            if held[0][0][0] == held[-1][0][-1]:
+                continue  # all of one bucket so far
+            whole = [np.concatenate(x) for x in zip(*held)]
+            cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1  # the last bucket can go on in the next batch
+            yield from out(*(x[:cut] for x in whole))
+            held = [tuple(x[cut:] for x in whole)]
+        if held:
+            yield from out(*(np.concatenate(x) for x in zip(*held)))
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
 def repeated_passages(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:

@@ -266,6 +266,38 @@ def test_near_passages_are_one_cluster(spark):
     assert {r.doc_id for r in got} == set(range(1, 30)) and all(0 in r.kept_ids for r in got)
 
 
+@pytest.mark.parametrize("block", [4096, 20])
+def test_variants_of_one_paragraph_against_all_pairs(spark, monkeypatch, block):
+    """Many variants, each changed in another word, of which most are like the original only."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rng = random.Random(11)
+    rows = []
+    for _ in range(6):
+        base = words(rng, substring_dedup.WINDOW).split()
+        rows.append((len(rows), " ".join(base), "s"))
+        for i in list(range(len(base))) * 4:
+            rows.append((len(rows), " ".join([*base[:i], "".join(rng.choice("klmnop") for _ in range(9)), *base[i + 1 :]]), "s"))
+    docs = table(spark, rows)
+    found = substring_dedup.band_rows(docs).select("bucket", "content", "doc_id", "word").collect()
+    doc = {r.content: r.doc_id for r in found}
+    sets = {c: set(zip(plain(rows[i][1]), plain(rows[i][1])[1:])) for c, i in doc.items()}
+    buckets, root = {}, {c: c for c in sets}
+    for r in found:
+        buckets.setdefault(r.bucket, set()).add(r.content)
+    find = lambda c: c if root[c] == c else find(root[c])
+    for b in buckets.values():
+        for x in b:
+            for y in b:
+                if x < y and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= substring_dedup.THRESHOLD:
+                    root[max(find(x), find(y))] = min(find(x), find(y))
+    keeps = {}
+    for c in sets:
+        keeps[find(c)] = min(keeps.get(find(c), doc[c]), doc[c])
+    want = {doc[c]: [keeps[find(c)]] for c in sets if keeps[find(c)] != doc[c]}
+    got = {r.doc_id: r.kept_ids for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got == want and max(map(len, buckets.values())) > substring_dedup.FEW
+
+
 def test_passages_inside_one_document_stay(spark):
     rng = random.Random(7)
     p = words(rng, 60)
