@@ -26,8 +26,8 @@ from .near_dedup import BROADCAST_ROWS, among
 WINDOW = 26
 STRIDE = 24
 THRESHOLD = 0.8
-#: Share of the paragraph pairs at the threshold that should collide in some band; a passage has several paragraphs, equal ones always collide.
-RECALL = 0.75
+#: Share of the paragraph pairs at the threshold that should collide in some band.
+RECALL = 0.9
 MAX_HASHES = 12
 _B = 0x9E3779B185EBCA87
 

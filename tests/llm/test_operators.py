@@ -298,6 +298,10 @@ def test_variants_of_one_paragraph_against_all_pairs(spark, monkeypatch, block):
     assert got == want and max(map(len, buckets.values())) > substring_dedup.FEW
 
 
+def test_bands_catch_nine_of_ten_pairs_at_the_threshold():
+    assert 1 - (1 - substring_dedup.THRESHOLD**substring_dedup.ROWS) ** substring_dedup.BANDS >= 0.9
+
+
 def test_passages_inside_one_document_stay(spark):
     rng = random.Random(7)
     p = words(rng, 60)
