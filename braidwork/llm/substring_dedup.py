@@ -7,7 +7,7 @@ on the words alone, so two documents that share WINDOW + STRIDE - 1 (49) words i
 Paragraphs are sets of word pairs. Band hashes of their MinHash values are joined; paragraphs of equal words are one
 node, and all nodes of a bucket are compared with each other by the exact Jaccard similarity of their sets. Components of the
 nodes are the repeated passages: the document with the least id keeps its copies, the others' are removals, merged to
-spans of words.
+spans of words and grown on both sides while the words agree with a kept copy.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = MAX
 BANDS, ROWS = tune()
 #: Buckets of more members are compared in parts of about so many; up to FEW members are compared pair by pair.
 BLOCK, FEW = 4096, 64
+#: Words by which a copy may have drifted within a paragraph, and the words inside its edges that are looked at to tell.
+SHIFT, INSIDE = 2, 4
 
 
 def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -243,6 +245,81 @@ def _near(members: DataFrame, where: DataFrame, docs: DataFrame, threshold: floa
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
+def _contexts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, word, side, content, context) of the wanted (doc_id, word, side), read from the texts again.
+
+    context holds 32-bit hashes of words, from INSIDE words within the edge of the paragraph (side 0 its beginning, 1 its end) outwards;
+    where the text ends the words that are missing are 0.
+    """
+    places = Table(wanted.groupBy("doc_id").agg(F.collect_list(F.col("word") * 2 + F.col("side")).alias("places")))
+    texts = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"), places.df.select("doc_id"), places.df.count())
+    reach = np.arange(-INSIDE, STRIDE - 1 + SHIFT)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        w = split_words(column(batch, "text"))
+        lists = column(batch, "places")
+        place = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(w.n), lists.value_lengths().to_numpy(zero_copy_only=False))
+        word, side = place // 2, place % 2
+        at = w.first[doc] + word
+        fits = at + WINDOW <= w.first[doc + 1]  # a repeated id can have a shorter text
+        doc, word, side, at = doc[fits], word[fits], side[fits], at[fits]
+        if not len(at):
+            return None
+        spot = np.where(side[:, None] == 1, at[:, None] + WINDOW + reach, at[:, None] - 1 - reach)
+        inside = (spot >= w.first[doc][:, None]) & (spot < w.first[doc + 1][:, None])
+        context = np.where(inside, (w.hash[np.where(inside, spot, 0)] >> np.uint64(32)).astype("<u4") | np.uint32(1), np.uint32(0)).astype("<u4")
+        arrays = [column(batch, "doc_id").take(pa.array(doc)), pa.array(word.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(mix(_runs(w, WINDOW)[at]).view(np.int64)), pa.array([r.tobytes() for r in context], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "word", "side", "content", "context"])
+
+    return map_chunks(texts.join(places.df, "doc_id"), "text", run, "doc_id long, word int, side int, content long, context binary")
+
+
+def _agreeing(own: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """How many words outside the edge agree, at the best of SHIFT words of drift; a drift counts where two words inside agree too."""
+    n = STRIDE - 1
+    out = own[:, INSIDE : INSIDE + n]
+    best = np.zeros(len(own), dtype=np.int32)
+    for s in range(-SHIFT, SHIFT + 1):
+        other = kept[:, INSIDE + s : INSIDE + s + n]
+        run = np.logical_and.accumulate((out == other) & (out != 0), axis=1).sum(1)
+        if s:
+            run = np.where((own[:, INSIDE - 2 : INSIDE] == kept[:, INSIDE + s - 2 : INSIDE + s]).all(1), run, 0)
+        best = np.maximum(best, run)
+    return best.astype(np.int32)
+
+
+def _extended(spans: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, begin, end, kept_ids) of the spans, grown on both sides while their words agree with a kept copy.
+
+    A run of equal words that goes on for STRIDE words or more has another paragraph, so no side grows by more than STRIDE - 1.
+    """
+    edges = spans.select("doc_id", F.posexplode(F.array("first", "last")).alias("side", "at")).select("doc_id", "side", "at.*")
+    edges = write(edges)
+    copies = edges.select("root", F.col("kept_id").alias("doc_id"), "side").distinct().join(found, ["root", "doc_id"])
+    copies = write(copies.select("root", "doc_id", "side", "content", "word"))
+    places = edges.select("doc_id", "word", "side").unionAll(copies.select("doc_id", "word", "side")).distinct()
+    contexts = write(_contexts(places, docs).distinct())
+    key = ["doc_id", "word", "side", "content"]
+    own = edges.join(contexts, key)
+    kept = copies.join(contexts, key).select("root", F.col("doc_id").alias("kept_id"), "side", F.col("context").alias("kept_context")).distinct()
+    both = own.join(kept, ["root", "kept_id", "side"]).select("doc_id", "word", "side", "context", "kept_context")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), dtype="<u4").reshape(batch.num_rows, -1) for c in ("context", "kept_context"))
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "word"), column(batch, "side"), pa.array(_agreeing(a, b))], names=["doc_id", "word", "side", "more"])
+
+    more = both.mapInArrow(run, "doc_id long, word int, side int, more int").groupBy("doc_id", "word", "side").agg(F.max("more").alias("more"))
+    less = more.where("side = 0").select("doc_id", F.col("word").alias("low"), F.col("more").alias("before"))
+    more = more.where("side = 1").select("doc_id", F.col("word").alias("high"), F.col("more").alias("behind"))
+    plain = spans.select("doc_id", F.col("first.word").alias("low"), F.col("last.word").alias("high"), "kept_ids")
+    grown = plain.join(less, ["doc_id", "low"], "left").join(more, ["doc_id", "high"], "left")
+    return grown.select("doc_id", (F.col("low") - F.coalesce("before", F.lit(0))).alias("begin"), (F.col("high") + WINDOW + F.coalesce("behind", F.lit(0))).alias("end"), "kept_ids")
+
+
 def repeated_passages(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, word, words, kept_ids): spans of words that a document with a lesser id has too.
 
@@ -262,15 +339,20 @@ def repeated_passages(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataF
     # contents that one document has and that are like no other stay out before anything is sorted
     alone = nodes.where("at.doc_id = last").select("content").join(roots.select(F.col("id").alias("content")), "content", "left_anti")
     found = found.join(alone, "content", "left_anti").join(roots.withColumnRenamed("id", "content"), "content", "left")
-    found = found.select(F.coalesce("root", "content").alias("root"), "doc_id", "word")
+    found = write(found.select(F.coalesce("root", "content").alias("root"), "doc_id", "word", "content"))
     kept = found.groupBy("root").agg(F.min("doc_id").alias("kept_id"))
-    removed = write(found.join(kept, "root").where("doc_id <> kept_id").select("doc_id", "word", "kept_id").distinct())
+    removed = write(found.join(kept, "root").where("doc_id <> kept_id").select("doc_id", "word", "kept_id", "root", "content").distinct())
     order = Window.partitionBy("doc_id").orderBy("word")
     before = F.max("word").over(order.rangeBetween(Window.unboundedPreceding, -1)) + WINDOW
     islands = removed.withColumn("new", F.when(F.col("word") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     # equal words of several kept ids are one beginning: count an island once
-    islands = islands.groupBy("doc_id", "island", "word").agg(F.collect_set("kept_id").alias("ids"))
-    spans = islands.groupBy("doc_id", "island").agg(F.min("word").alias("word"), (F.max("word") + WINDOW - F.min("word")).alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("kept_ids"))
+    islands = islands.groupBy("doc_id", "island", "word").agg(F.collect_set("kept_id").alias("ids"), F.min(F.struct("word", "root", "content", "kept_id")).alias("at"))
+    spans = write(islands.groupBy("doc_id", "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("kept_ids")))
+    grown = _extended(spans, found, docs)
+    order = Window.partitionBy("doc_id").orderBy("begin", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    merged = grown.withColumn("new", F.when(F.col("begin") <= reached, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = merged.groupBy("doc_id", "island").agg(F.min("begin").alias("word"), (F.max("end") - F.min("begin")).alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_ids")))).alias("kept_ids"))
     return spans.select("doc_id", "word", "words", "kept_ids")
 
 

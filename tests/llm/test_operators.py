@@ -298,6 +298,23 @@ def test_variants_of_one_paragraph_against_all_pairs(spark, monkeypatch, block):
     assert got == want and max(map(len, buckets.values())) > substring_dedup.FEW
 
 
+def test_spans_cover_whole_passages(spark):
+    rng = random.Random(12)
+    passages = [words(rng, n) for n in (50, 55, 80, 120)]
+    rows, where = [], {}
+    for i in range(40):
+        front = words(rng, rng.randint(0, 90))
+        where[i] = (len(plain(front)), len(plain(passages[i % 4])))
+        rows.append((i, f"{front} {passages[i % 4]} {words(rng, rng.randint(0, 60))}", "s"))
+    got = {}
+    for r in substring_dedup.repeated_passages(table(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.word, r.words))
+    assert sorted(got) == list(range(4, 40))
+    for i, spans in got.items():
+        at, n = where[i]
+        assert any(a <= at and a + k >= at + n for a, k in spans)
+
+
 def test_bands_catch_nine_of_ten_pairs_at_the_threshold():
     assert 1 - (1 - substring_dedup.THRESHOLD**substring_dedup.ROWS) ** substring_dedup.BANDS >= 0.9
 
