@@ -179,6 +179,25 @@ def test_neighbours_recall(spark):
     assert [n for _, n, x in sorted(got[120])] == [99, *range(100, 109)] and all(x == 0 for _, _, x in got[120])
 
 
+def test_neighbours_recall_with_more_lists_than_the_beam(spark, monkeypatch):
+    """Evenly spread unit vectors, in cells whose queries are divided too."""
+    for name, value in (("LIST_ROWS", 8), ("BEAM", 16), ("CELL_ROWS", 2000), ("QUERY_ROWS", 2000)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(5000, 64))
+    m = (m / np.linalg.norm(m, axis=1)[:, None]).astype("f4")
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest_neighbours(df, k=10).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbor_id)
+    d = ann.squared(m, m)
+    np.fill_diagonal(d, np.inf)
+    top = np.argsort(d, axis=1)[:, :10]
+    recall = np.mean([len(got[i] & set(top[i])) / 10 for i in range(len(m))])
+    print("RECALL", recall)
+    assert recall >= 0.9
+
+
 def test_neighbours_split_into_cells(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL_ROWS", 150)
     rng = np.random.default_rng(1)
