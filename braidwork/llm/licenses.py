@@ -10,6 +10,7 @@ there, word for word, at their places; only then is the notice reported.
 from __future__ import annotations
 
 import math
+from bisect import bisect
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,9 +159,13 @@ def scan(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES) -> Dat
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         w = split_words(column(batch, "text"))
         best: list[tuple[int, str, int, float, int]] = []
+        taken: dict[tuple[int, str], list[tuple[int, int]]] = {}  # (begin, end) of the accepted ones, sorted, without overlap
         ranked = [(d, templates[k].license, at, n / len(index.words[k]), len(index.words[k])) for d, k, at, n in index.find(w)]
         for d, name, at, cover, size in sorted(ranked, key=lambda r: (r[0], r[1], -r[3], r[2], -r[4])):
-            if not any(o[0] == d and o[1] == name and at < o[2] + o[4] and o[2] < at + size for o in best[-50:]):
+            own = taken.setdefault((d, name), [])
+            place = bisect(own, (at, at))
+            if not (place and own[place - 1][1] > at) and not (place < len(own) and own[place][0] < at + size):
+                own.insert(place, (at, at + size))
                 best.append((d, name, at, cover, size))
         if not best:
             return None

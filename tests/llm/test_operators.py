@@ -244,6 +244,12 @@ def test_licenses_need_their_phrases(spark):
     assert got == {(3, "Apache-2.0", 0), (4, "GPL-3.0", 1)}
 
 
+def test_licenses_of_a_long_document_are_one_a_place(spark):
+    text = " ".join(f"Licensed under the MIT license {words(random.Random(i), 12)}" for i in range(200))
+    got = [r.word for r in licenses.scan(table(spark, [(1, text, "s")])).collect()]
+    assert sorted(got) == [17 * i for i in range(200)]
+
+
 def test_licenses_odd(odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
 
