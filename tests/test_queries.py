@@ -3,6 +3,11 @@
 import datetime
 import decimal
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -53,3 +58,18 @@ def test_query_without_sql_runs(spark, folder, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("gone", [("braidwork/llm", "tests/llm"), ("braidwork/llm", "tests/llm", "corpus_pipeline.py")])
+def test_library_stands_without_the_training_operators(tmp_path, gone):
+    root = Path(__spark_entry__.__file__).parent
+    for part in ("braidwork", "tests"):
+        shutil.copytree(root / part, tmp_path / part, ignore=shutil.ignore_patterns("__pycache__"))
+    for part in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / part).exists():
+            shutil.copy(root / part, tmp_path / part)
+    for part in gone:
+        where = tmp_path / part
+        shutil.rmtree(where, ignore_errors=True) if where.suffix == "" else where.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert e.FLAGSHIP in q and 'pipeline' not in q and not [n for n in q if n.startswith('op')]; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
