@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
 _own: list[str] = []
+_open = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where it is unset (local tests) a folder of our own is used."""
+    """spark.checkpoint.dir of the session. Where it is unset a local session (in tests) has a folder of its own, a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='braidwork-')}")
         folder = _own[0]
@@ -29,7 +36,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Table:
-    """A written DataFrame. The files stay until release() or the end of the driver's Python."""
+    """A written DataFrame. The files stay until release(), the end of the scratch() it was written in, or that of the driver's Python."""
 
     def __init__(self, df: DataFrame) -> None:
         self._spark = df.sparkSession
@@ -37,6 +44,8 @@ class Table:
         df.write.parquet(self.path)
         _written.append(self.path)
         self._schema = df.schema
+        if scopes := getattr(_open, "scopes", None):
+            scopes[-1].append(self)
 
     @property
     def df(self) -> DataFrame:
@@ -48,6 +57,28 @@ class Table:
             _delete(self._spark, self.path)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """All tables written within are released at its end. What the given function gets is written to a table that outlives it."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    own: list[Table] = []
+    scopes.append(own)
+
+    def settle(df: DataFrame) -> DataFrame:
+        table = Table(df)
+        own.remove(table)
+        if len(scopes) > 1:
+            scopes[-2].append(table)
+        return table.df
+
+    try:
+        yield settle
+    finally:
+        scopes.pop()
+        for table in own:
+            table.release()
+
+
 def _release_all() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:
