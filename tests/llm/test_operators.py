@@ -541,12 +541,78 @@ def test_near_duplicates_against_all_pairs(spark):
 
 
 def test_near_duplicates_odd(odd, empty):
-    assert sorted((r.doc_id, r.kept_id, r.group_size) for r in near_dedup.near_duplicates(odd).collect()) == [(3, 3, 2), (5, 3, 2)]
+    assert sorted((r.doc_id, r.kept_id, r.group_size, r.links) for r in near_dedup.near_duplicates(odd).collect()) == [(3, 3, 2, 0), (5, 3, 2, 0)]
     kept = near_dedup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 2  # one of 3 and 5, one of the rows of 4
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.drop_near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("part", [2048, 7])
+def test_links_of_variants_against_all_pairs(spark, monkeypatch, part):
+    """Many variants of few texts, copies among them, so that buckets hold members that aren't like their hub; in parts too."""
+    monkeypatch.setattr(near_dedup, "PART", part)
+    rng = random.Random(13)
+    rows = []
+    for _ in range(4):
+        base = words(rng, 40).split()
+        for _ in range(30):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(40)] = words(rng, 1)
+            rows += [(len(rows) + i, " ".join(own), "s") for i in range(rng.choice([1, 1, 3]))]
+    sets = {}
+    for i, t, _ in rows:
+        w = plain(t)
+        sets[i] = frozenset(zip(w, w[1:]))
+    texts = set(sets.values())
+    near = {a: {b for b in texts if a != b and len(a & b) / len(a | b) >= near_dedup.THRESHOLD} for a in texts}
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    root = {}
+    for i in sorted(sets):
+        todo = [sets[i]] if sets[i] not in root else []
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = i
+                todo += near[x]
+    size = {r: sum(root[sets[i]] == r for i in sets) for r in set(root.values())}
+    want = {i: (root[s], size[root[s]], len(near[s])) for i, s in sets.items() if size[root[s]] > 1}
+    assert {i: (r.kept_id, r.group_size, r.links) for i, r in got.items()} == want and len(want) > 150
+
+
+def test_all_pairs_in_blocks():
+    from braidwork.llm import _pairs
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(60)]
+    offsets, items = np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets)
+    jaccard = np.array([[len(set(a) & set(b)) / len(set(a) | set(b)) for b in sets] for a in sets])
+    np.fill_diagonal(jaccard, 0)
+    left, right, near = _pairs.alike(offsets, items, np.zeros(60, int), 0.5)
+    assert (near == (jaccard >= 0.5)).all()
+    part = rng.integers(1, 3, 60)
+    left, right, near = _pairs.alike(offsets, items, part, 0.5)
+    assert (near == (jaccard >= 0.5)[np.ix_(part == 1, part == 2)]).all()
+    for l, r, m in ((left, right, near), (np.arange(60), None, jaccard >= 0.5)):
+        r = l if r is None else r
+        label = list(range(60))
+        for u, v in zip(*_pairs.forest(l, r, m)):
+            assert m[np.flatnonzero(l == u)[0], np.flatnonzero(r == v)[0]] if u in l and v in r else m[np.flatnonzero(l == v)[0], np.flatnonzero(r == u)[0]]
+            a, b = label[u], label[v]
+            label = [a if x == b else x for x in label]
+        for i, j in zip(*np.nonzero(m)):
+            assert label[l[i]] == label[r[j]]
+
+
+def test_the_promised_row_stays_and_columns_keep_their_places(spark):
+    long, short = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(3))
+    rows = [("s", 1, long, 1), ("s", 1, short, 2), ("s", 1, " ".join(f"c{i}" for i in range(40)), 3), ("s", 2, short, 4), ("s", 1, None, 5), ("s", 2, "...", 6), ("s", 3, "alone", 7)]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string, row_of_id int")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.row_of_id for r in kept.collect()) == [2, 5, 6, 7]  # 4 is a copy of 2, 5 and 6 have no word
+
+
 # 10: personal data
 
 
