@@ -651,8 +651,71 @@ def test_recognisers(text, kind):
     assert pii.recognise(text) == kind
 
 
+@pytest.mark.parametrize("text, kind", [("(a@b.example.org)", "email"), ("mailto:a@b.example.org", "email"), ("DE89 3704 0044 0532 0130 00", "iban"), ("DE88 3704 0044 0532 0130 00", None), ("postgres://me:pw9@host/db", "credentials"), ('"api_key":"k3y-value-9"', "secret"), ("eyJhbGciOiJIUzI1NiJ9." + "a1" * 400 + "." + "b2" * 30, "key"), ("12345678901234567890", None)])
+def test_seeds_inside_a_token(text, kind):
+    assert [k for _, _, k in pii.seeds(text)] == ([kind] if kind else [])
+
+
+def test_identifiers_in_unbroken_text_are_found(spark):
+    """No length limits a token: addresses, keys and cards in lists, in minified JSON and in a megabyte without a space."""
+    cards = ["4111111111111111", "5500005555555559", "340000000000009"]
+    rows = [(1, "a@b.example.org,c@d.example.org;e@f.example.org"), (2, '{"mail":"g@h.example.org","card":"4111111111111111","n":[' + ",".join(map(str, range(50_000))) + "]}")]
+    rows += [(3, "x" * 300_000 + "," + cards[1] + "," + "漢字" * 100_000 + "=i@j.example.org"), (4, " ".join(f"{n:04d}" for n in range(5000)) + " 4111 1111 1111 1111")]
+    got = {(r.doc_id, r.text) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kind != "discovered"}
+    want = {(1, "a@b.example.org"), (1, "c@d.example.org"), (1, "e@f.example.org"), (2, "g@h.example.org"), (2, cards[0]), (3, cards[1]), (3, "i@j.example.org"), (4, "4111 1111 1111 1111")}
+    assert got >= want and all(k in {i for i, _ in want} for k, _ in got)
+
+
+def test_keys_discover_values_without_a_digit(spark):
+    rng = random.Random(14)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    rows = [(i, f"{words(rng, 8)} password={name()}{i} {words(rng, 3)}", "s") for i in range(20)] + [(i, f"{words(rng, 8)} password={name()} {words(rng, 3)}: {words(rng, 4)}", "s") for i in range(20, 26)]
+    got = pii.find(table(spark, rows)).collect()
+    assert {r.doc_id for r in got} == set(range(26)) and {r.doc_id for r in got if r.kind == "discovered"} == set(range(20, 26))
+
+
+def find_plainly(rows):
+    """The whole operator in plain Python: every instance of every text, scores in dictionaries."""
+    found = []
+    for i, text in rows:
+        for start, instance, seed, left in pii._instances(text):
+            found.append((i, start, instance, seed, pii.patterns(instance, left)))
+    edges = {(t, p) for _, _, t, _, ps in found for p in ps}
+    seeds = {}
+    for _, _, t, s, ps in found:
+        for p in ps:
+            seeds[t, p] = max(seeds.get((t, p), 0.0), float(s is not None))
+    score = {t: max(seeds[t, p] for u, p in edges if u == t) for t, _ in edges}
+    for _ in range(pii.ROUNDS):
+        confidence = {p: sum(score[t] for t, q in edges if q == p) / (sum(q == p for _, q in edges) + pii.DAMPING) for _, p in edges}
+        score = {t: max([seeds[t, p] for u, p in edges if u == t] + [confidence[p] * pii.DECAY for u, p in edges if u == t]) for t, _ in edges}
+    good = {p: c for p, c in confidence.items() if c >= pii.CONFIDENCE and sum(q == p for _, q in edges) >= pii.SUPPORT}
+    out = set()
+    for i, start, t, s, ps in found:
+        best = min(((-good[p], p) for p in ps if p in good), default=None)
+        if s or best:
+            out.add((i, start, t, s or "discovered", best and best[1], best and round(-best[0], 6)))
+    return out
+
+
+def test_pii_against_a_plain_version(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(40):
+        parts = [words(rng, 6), f"a{i}@mail.example.com" if i % 3 else "", f"call +1 (9{i:02d}) 555-24{i:02d}" if i % 2 else "", f"id: {rng.randrange(10**6)} v{i}.2", f"key={words(rng, 1)}", words(rng, 3), "tok 7 8 9"]
+        rows.append((i, " ".join(parts)))
+    got = {tuple(r) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = find_plainly(rows)
+    assert {x[:5] for x in got} == {x[:5] for x in want} and {x[2:4] for x in got}
+    assert {x[:4]: x[5] for x in got} == {x[:4]: pytest.approx(x[5], abs=2e-6) if x[5] is not None else None for x in want}
+
+
 def test_pii_odd(spark, odd, empty):
     assert pii.find(odd).count() == 0 and pii.find(empty).count() == 0
     digits = spark.createDataFrame([(1, " ".join(str(n) for n in range(20_000))), (None, "mail x@y.example.com now"), (2, "9" * 100_000), (3, "@"), (3, "@")], "doc_id long, text string")
     got = pii.find(digits).collect()
     assert [(r.doc_id, r.text) for r in got if r.kind == "email"] == [(None, "x@y.example.com")]
+    twice = spark.createDataFrame([(None, "mail x@y.example.com", 1), (None, "mail x@y.example.com", 2), (5, "x@y.example.com x@y.example.com", 3)], "doc_id long, text string, pattern int")
+    assert sorted((r.doc_id or 0, r.start) for r in pii.find(twice).collect()) == [(0, 5), (5, 0), (5, 16)]
+    assert pii.score_patterns(spark.createDataFrame([], "text string, seed string, patterns array<string>")).count() == 0
+    assert pii.score_patterns(spark.createDataFrame([(None, None, ["p"]), ("x", None, None)], "text string, seed string, patterns array<string>")).count() == 0
