@@ -6,12 +6,13 @@ item is then binary-searched in every shard; all training suffixes in the range
 64-bit word hashes to the longest verbatim match (verbatim up to case and punctuation). There is no shuffle but the one
 that keeps the longest match of each document and item.
 
-The benchmark travels to the executors in slices of at most SLICE_WORDS words; a larger benchmark has more slices, each of
-which is searched in the same pass over the training text, so its size is bounded by time and not by memory.
+The benchmark travels to the executors in slices of at most SLICE_WORDS words (or one item). Each slice is a pass of its own over the
+training text, so the size of a benchmark is bounded by time and not by memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import write
 from ._words import Words, column, map_chunks, split_words
 
 #: A match counts from this many words on; an item with fewer words counts if all of it matches.
 MIN_WORDS = 13
-#: Items with fewer words than this are never matched: they would hit ordinary prose.
+#: Documents aren't removed for items with fewer words than this, which ordinary prose is full of; matches() reports these items too.
 LEAST_ITEM = 4
 SLICE_WORDS = 2_000_000
 _BLOCK = 4
+#: Pairs of a training and a test suffix that are looked at at once.
+_PAIRS = 1 << 20
 
 
 @dataclass
@@ -38,39 +42,35 @@ class Tests:
     first: np.ndarray
     ids: np.ndarray
 
-    def starts(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes that can match, and how many words of each have to."""
+    def starts(self, min_words: int, least_item: int) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes of items with least_item words or more that can match, and how many words of each have to."""
         size = np.diff(self.first)
         need = np.minimum(size, min_words)[self.item]
         left = self.first[self.item + 1] - np.arange(len(self.item))
-        at = np.flatnonzero((left >= need) & (need >= LEAST_ITEM))
+        at = np.flatnonzero((left >= need) & (size[self.item] >= least_item))
         return at, need[at]
 
 
-def read_tests(benchmark: DataFrame) -> list[Tests]:
-    """The benchmark in slices. Items with a null id or text, or without a word, are left out."""
-    slices: list[Tests] = []
+def read_tests(benchmark: DataFrame) -> Iterator[Tests]:
+    """The benchmark, slice by slice: the driver holds one. Items with a null id or text, or without a word, are left out."""
     ids: list[int] = []
     texts: list[str] = []
 
-    def close() -> None:
-        if texts:
-            w = split_words(pa.array(texts, pa.large_string()))
-            slices.append(Tests(w.hash, w.doc, w.first, np.array(ids, dtype=np.int64)))
-            ids.clear()
-            texts.clear()
+    def slice_() -> Tests:
+        w = split_words(pa.array(texts, pa.large_string()))
+        return Tests(w.hash, w.doc, w.first, np.array(ids, dtype=np.int64))
 
     size = 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         words = row.text.count(" ") + 1
-        if size + words > SLICE_WORDS:
-            close()
-            size = 0
+        if texts and size + words > SLICE_WORDS:
+            yield slice_()
+            ids, texts, size = [], [], 0
         size += words
         ids.append(row.item_id)
         texts.append(row.text)
-    close()
-    return slices
+    if texts:
+        yield slice_()
 
 
 def _codes(hashes: np.ndarray) -> np.ndarray:
@@ -126,30 +126,42 @@ def _bound(codes: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return lo
 
 
-def _search(w: Words, tests: Tests, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _search(w: Words, tests: Tests, min_words: int, least_item: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All maximal matches: training word, test word, length in words."""
     none = np.zeros(0, dtype=np.int64)
-    start, need = tests.starts(min_words)
+    start, need = tests.starts(min_words, least_item)
     if not len(w.hash) or not len(start):
         return none, none, none
     codes, wanted = _codes(w.hash), _codes(tests.hash)
     order = suffix_array(codes, max(1, min_words // _BLOCK))
-    lo, hi = np.zeros(len(start), dtype=np.int64), np.full(len(start), len(order))
-    for block in range(max(1, min_words // _BLOCK)):
+    key = codes[order]
+    # the first block; of a shorter item only its words count, so all that may follow them is in the range
+    rest = (np.uint64(1) << (np.uint64(16) * (_BLOCK - np.minimum(need, _BLOCK)).astype(np.uint64))) - np.uint64(1)
+    first = _at(wanted, start)
+    lo, hi = np.searchsorted(key, first & ~rest, "left"), np.searchsorted(key, first | rest, "right")
+    for block in range(1, max(1, min_words // _BLOCK)):
         on = np.flatnonzero((need >= _BLOCK * (block + 1)) & (lo < hi))
         if not len(on):
             break
         block_wanted = _at(wanted, start[on] + _BLOCK * block)
         a, b = lo[on], hi[on]
-        if block == 0:
-            key = codes[order]
-            lo[on], hi[on] = np.searchsorted(key, block_wanted, "left"), np.searchsorted(key, block_wanted, "right")
-        else:
-            lo[on] = _bound(codes, order, a, b, block_wanted, _BLOCK * block, False)
-            hi[on] = _bound(codes, order, a, b, block_wanted, _BLOCK * block, True)
+        lo[on] = _bound(codes, order, a, b, block_wanted, _BLOCK * block, False)
+        hi[on] = _bound(codes, order, a, b, block_wanted, _BLOCK * block, True)
     count = np.maximum(hi - lo, 0)
-    which = np.repeat(np.arange(len(start)), count)
-    train = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+    some = np.flatnonzero(count)
+    found = [(none, none, none)]
+    while len(some):
+        take = max(1, int(np.searchsorted(np.cumsum(count[some]), _PAIRS, "right")))
+        found.append(_extended(w, tests, order, start, need, some[:take], lo, count))
+        some = some[take:]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _extended(w: Words, tests: Tests, order: np.ndarray, start: np.ndarray, need: np.ndarray, some: np.ndarray, lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal matches of some of the test suffixes, each with all training suffixes of its range."""
+    n = count[some]
+    which = np.repeat(some, n)
+    train = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[some], n)]
     test = start[which]
     # one match is found from all of its suffixes: keep those that no earlier word extends
     inner = (train > 0) & (test > 0)
@@ -166,53 +178,59 @@ def _search(w: Words, tests: Tests, min_words: int) -> tuple[np.ndarray, np.ndar
     return train[good], test[good], length[good]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORDS, least_item: int = 1) -> DataFrame:
     """The longest verbatim match of each document and item: (doc_id, item_id, words, item_word, doc_word, passage).
 
     item_word and doc_word count words from 0; of equally long matches the first in the item, then in the document. Words
-    are compared in lower case without punctuation. Null and empty texts match nothing; a row with a null doc_id is reported with a
+    are compared in lower case without punctuation. Items of fewer than min_words words have to match as a whole; those of fewer than
+    least_item are left out. Null and empty texts match nothing; a row with a null doc_id is reported with a
     null doc_id, repeated rows and repeated ids as one. Only doc_id, text and item_id, text are read. An empty
     table on either side gives no rows.
     """
-    slices = read_tests(benchmark)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        w = split_words(column(batch, "text"))
-        parts = []
-        for tests in slices:
-            train, test, length = _search(w, tests, min_words)
+    spark = docs.sparkSession
+    schema = "doc_id long, item_id long, words long, item_word long, doc_word long, passage string"
+    found = spark.createDataFrame([], schema)
+    for slice_ in read_tests(benchmark):
+        shared = spark.sparkContext.broadcast(slice_)
+
+        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
+            tests, w = shared.value, split_words(column(batch, "text"))
+            train, test, length = _search(w, tests, min_words, least_item)
+            if not len(train):
+                return None
             doc, item = w.doc[train], tests.item[test]
             by = np.lexsort((train, test, -length, item, doc))
-            by = by[np.concatenate([[True], (doc[by][1:] != doc[by][:-1]) | (item[by][1:] != item[by][:-1])])] if len(by) else by
-            parts += [(int(doc[i]), int(tests.ids[item[i]]), int(length[i]), int(test[i] - tests.first[item[i]]), int(train[i] - w.first[doc[i]]), w.text(train[i], train[i] + length[i])) for i in by]
-        if not parts:
-            return None
-        doc, item, words, item_word, doc_word, passage = zip(*parts)
-        ids = column(batch, "doc_id").cast(pa.int64()).take(pa.array(doc))
-        return pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), pa.array(words, pa.int64()), pa.array(item_word, pa.int64()), pa.array(doc_word, pa.int64()), pa.array(passage, pa.string())], names=["doc_id", "item_id", "words", "item_word", "doc_word", "passage"])
-
-    found = map_chunks(docs.select("doc_id", "text"), "text", run, "doc_id long, item_id long, words long, item_word long, doc_word long, passage string")
+            by = by[np.concatenate([[True], (doc[by][1:] != doc[by][:-1]) | (item[by][1:] != item[by][:-1])])]
+            train, test, length, doc, item = train[by], test[by], length[by], doc[by], item[by]
+            ids = column(batch, "doc_id").cast(pa.int64()).take(pa.array(doc))
+            arrays = [ids, pa.array(tests.ids[item]), pa.array(length), pa.array(test - tests.first[item]), pa.array(train - w.first[doc]), pa.array([w.text(a, a + n) for a, n in zip(train, length)], pa.string())]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "words", "item_word", "doc_word", "passage"])
+
+        found = found.unionAll(map_chunks(docs.select("doc_id", "text"), "text", run, schema))
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("words")).alias("less"), "item_word", "doc_word", "passage")).alias("m"))
     return best.select("doc_id", "item_id", (-F.col("m.less")).alias("words"), "m.item_word", "m.doc_word", "m.passage")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs without a match, with all their columns whatever they are called. One pass without a shuffle.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORDS, least_item: int = LEAST_ITEM) -> DataFrame:
+    """The rows of docs without a match, with all their columns whatever they are called. One pass without a shuffle for each slice.
 
-    Rows with a null or empty text stay, rows with a null doc_id are judged by their text. An empty benchmark removes nothing.
+    Rows with a null or empty text stay, rows with a null doc_id are judged by their text. An empty benchmark removes nothing. Items of
+    fewer than least_item words remove nothing either: matches() tells where they are.
     """
-    slices = read_tests(benchmark)
-    if not slices:
-        return docs
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = split_words(column(batch, "text"))
-        clean = np.ones(w.n, dtype=bool)
-        for tests in slices:
-            clean[w.doc[_search(w, tests, min_words)[0]]] = False
-        return batch.filter(pa.array(clean))
-
-    return map_chunks(docs, "text", run, docs.schema)
+    clean = docs
+    for slice_ in read_tests(benchmark):
+        if clean is not docs:  # what another slice left is written, so that no task holds two
+            clean = write(clean)
+        shared = docs.sparkSession.sparkContext.broadcast(slice_)
+
+        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            w = split_words(column(batch, "text"))
+            good = np.ones(w.n, dtype=bool)
+            good[w.doc[_search(w, shared.value, min_words, least_item)[0]]] = False
+            return batch.filter(pa.array(good))
+
+        clean = map_chunks(clean, "text", run, docs.schema)
+    return clean
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_decontamination_is_the_longest_common_run(spark):
     rng = random.Random(1)
     vocabulary = [words(rng, 1) for _ in range(12)]
     say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(i, " ".join(say(rng.choice([3, 6, 20, 30])))) for i in range(12)]
+    items = [(i, " ".join(say(rng.choice([1, 2, 3, 6, 20, 30])))) for i in range(12)]
     docs = []
     for d in range(60):
         body = say(rng.randint(0, 60))
@@ -83,9 +83,20 @@ def test_decontamination_is_the_longest_common_run(spark):
         for i, item in items:
             b = item.split()
             n, at_b, at_a = longest(plain(text), b)
-            if len(b) >= decontamination.LEAST_ITEM and n >= min(len(b), decontamination.MIN_WORDS):
+            if n >= min(len(b), decontamination.MIN_WORDS):
                 want[d, i] = (n, at_b, at_a)
     assert got == want and want
+    clean = {r.doc_id for r in decontamination.decontaminate(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert clean == {d for d, _, _ in docs} - {d for d, i in want if len(items[i][1].split()) >= decontamination.LEAST_ITEM}
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 50])
+def test_repetitive_texts_and_items(spark, monkeypatch, pairs):
+    monkeypatch.setattr(decontamination, "_PAIRS", pairs)
+    docs = table(spark, [(1, "la " * 3000, "s"), (2, "la " * 14 + "end " + "la " * 20, "s"), (3, "what is two plus two", "s"), (4, "no no", "s")])
+    bench = spark.createDataFrame([(1, "la " * 40), (2, "two plus two"), (3, "no"), (4, "la " * 15 + "end")], "item_id long, text string")
+    got = sorted(tuple(r)[:5] for r in decontamination.matches(docs, bench).collect())
+    assert got == [(1, 1, 40, 0, 0), (1, 4, 15, 0, 0), (2, 1, 20, 0, 15), (2, 4, 15, 0, 15), (3, 2, 3, 0, 2), (4, 3, 1, 0, 0)]
 
 
 def test_decontamination_in_slices_is_the_same(spark, monkeypatch):
@@ -95,7 +106,8 @@ def test_decontamination_in_slices_is_the_same(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, decontamination.matches(docs, bench).collect()))
     monkeypatch.setattr(decontamination, "SLICE_WORDS", 45)
-    assert len(decontamination.read_tests(bench)) > 2
+    assert len(list(decontamination.read_tests(bench))) > 2
+    assert decontamination.decontaminate(docs, bench).count() == 0
     assert sorted(map(tuple, decontamination.matches(docs, bench).collect())) == whole and len(whole) == 20
 
 
