@@ -38,11 +38,11 @@ def epochs(docs: DataFrame, targets: Mapping[str, float], *, default_weight: flo
     """
     if default_weight < 0 or max_epochs < 0 or any(w < 0 for w in targets.values()):
         raise ValueError("weights and max_epochs can't be negative")
-    weight = F.lit(float(default_weight))
-    for source, w in targets.items():
-        weight = F.when(F.col("source") == source, float(w)).otherwise(weight)
-    sizes = docs.groupBy("source").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("double").alias("chars")).withColumn("weight", weight)
-    # one row a source: the sorted pass is over as many rows as there are sources
+    named = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in targets.items()], "named string, target double")
+    sizes = docs.groupBy("source").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("double").alias("chars"))
+    sizes = sizes.join(F.broadcast(named) if len(targets) <= BROADCAST_SOURCES else named, F.col("source") == F.col("named"), "left")
+    sizes = sizes.select("source", "chars", F.coalesce("target", F.lit(float(default_weight))).alias("weight"))
+    # one row a source: the sorted pass is over as many rows as there are sources, after partial sums
     live = (F.col("chars") > 0) & (F.col("weight") > 0)
     ordered = Window.partitionBy("live").orderBy(F.try_divide(F.col("chars") * max_epochs, "weight"), "source")
     everything = Window.partitionBy(F.lit(0))
@@ -59,6 +59,8 @@ def epochs(docs: DataFrame, targets: Mapping[str, float], *, default_weight: flo
 def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, *, default_weight: float = DEFAULT_WEIGHT, max_epochs: float = MAX_EPOCHS, budget: float | None = None, seed: int = SEED, copy_column: str | None = None) -> DataFrame:
     """docs with each row as often as its source's epochs say, all columns as they were (and copy_column, 0 for the first copy).
 
+    If docs has a column of that name (in any case) the new one is copy_column_, and so on.
+
     A row's fraction is decided by the hash of the seed and its doc_id, for a null doc_id by its text: repeated rows share
     one fate. Rows with a null text are sampled like all others. Columns of any other name stay; helper columns
     take names that docs doesn't have. An empty table gives an empty table.
@@ -73,7 +75,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, *, default_
     number = (F.floor(rate) + F.when(draw < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")
     taken = joined.withColumn(copies, number).where(F.col(copies) > 0)
     names = [F.col(f"`{c}`") for c in docs.columns]
-    copy = copy_column or copies
+    copy = unused(copy_column, docs.columns) if copy_column else copies
     out = taken.select(*names, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias(copy))
     return out if copy_column else out.drop(copy)
 
