@@ -59,9 +59,9 @@ def place(docs: DataFrame, shards: Sequence[str] | None = None, *, slots: int =
 
     The key is doc_id, for a null doc_id the text, so equal keys share a shard, repeated rows too; rows without either go
     where the empty text goes. All columns of docs stay as they are; if there is a shard already (in any case) the new
-    column is shard_, and so on. An empty table gives an empty table.
+    column is shard_, and so on. An empty table gives an empty table; no shards are an error.
     """
-    table = lookup_table(shards or shard_names(), slots)
+    table = lookup_table(shard_names() if shards is None else shards, slots)
     slot, owner, name = unused("shard_slot", docs.columns), unused("shard_owner", docs.columns), unused("shard", docs.columns)
     rows = docs.sparkSession.createDataFrame([(int(i), int(s)) for i, s in enumerate(table)], f"{owner}_slot int, {owner} int")
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"))).otherwise(F.xxhash64(F.coalesce("text", F.lit(""))))
