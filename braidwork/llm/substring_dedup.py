@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._graph import components
-from ._store import Table, write
+from ._names import unused
+from ._pairs import map_groups
+from ._store import Table, scratch, write
 from ._words import Words, column, map_chunks, mix, split_words
 from .near_dedup import BROADCAST_ROWS, among
 
@@ -218,31 +220,16 @@ def _near(members: DataFrame, where: DataFrame, docs: DataFrame, threshold: floa
         blocks = blocks.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, "bucket", "left_anti").unionByName(split)
     rows = blocks.join(sets, "content").select(F.xxhash64("bucket", "block").alias("bucket"), "content", "items")
 
-    def run(batches):
-        def out(bucket, content, items, size):
-            u, v = _joined(bucket, items, size, threshold)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(content[u], content[v])), pa.array(np.maximum(content[u], content[v]))], names=["u", "v"])
+    def run(batch):
+        lists, content = column(batch, "items"), column(batch, "content").to_numpy(zero_copy_only=False)
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        items = np.tile(np.arange(WINDOW - 1) - (1 << 40), (len(size), 1))
+        items[np.arange(WINDOW - 1) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        u, v = _joined(column(batch, "bucket").to_numpy(zero_copy_only=False), items, size, threshold)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(content[u], content[v])), pa.array(np.maximum(content[u], content[v]))], names=["u", "v"])
 
-        held = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = column(batch, "items")
-            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            items = np.tile(np.arange(WINDOW - 1) - (1 << 40), (len(size), 1))
-            items[np.arange(WINDOW - 1) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-            held.append((column(batch, "bucket").to_numpy(zero_copy_only=False), column(batch, "content").to_numpy(zero_copy_only=False), items, size))
-            if held[0][0][0] == held[-1][0][-1]:
-                continue  # all of one bucket so far
-            whole = [np.concatenate(x) for x in zip(*held)]
-            cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1  # the last bucket can go on in the next batch
-            yield from out(*(x[:cut] for x in whole))
-            held = [tuple(x[cut:] for x in whole)]
-        if held:
-            yield from out(*(np.concatenate(x) for x in zip(*held)))
-
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return map_groups(rows, "bucket", run, "u long, v long")
 
 
 def _contexts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -328,62 +315,76 @@ def repeated_passages(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataF
     only is not reported. Of whole copies of documents the least id keeps all. Only doc_id and text are read. An
     empty table gives no rows.
     """
-    bucket = Window.partitionBy("bucket")
-    spread = band_rows(docs).select("*", F.min("doc_id").over(bucket).alias("lo"), F.max("doc_id").over(bucket).alias("hi"), F.min("content").over(bucket).alias("hub"), F.max("content").over(bucket).alias("top"))
-    shared = write(spread.where("lo <> hi").select("bucket", "content", "doc_id", "word", "hub", "top"))
-    nodes = write(shared.groupBy("content").agg(F.min(F.struct("doc_id", "word")).alias("at"), F.max("doc_id").alias("last")))
-    where = nodes.select("content", "at.doc_id", "at.word")
-    members = write(shared.where("hub <> top").select("bucket", "content").distinct())
-    roots = write(components(_near(members, where, docs, threshold).distinct()))
-    found = shared.select("content", "doc_id", "word").distinct()
-    # contents that one document has and that are like no other stay out before anything is sorted
-    alone = nodes.where("at.doc_id = last").select("content").join(roots.select(F.col("id").alias("content")), "content", "left_anti")
-    found = found.join(alone, "content", "left_anti").join(roots.withColumnRenamed("id", "content"), "content", "left")
-    found = write(found.select(F.coalesce("root", "content").alias("root"), "doc_id", "word", "content"))
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("kept_id"))
-    removed = write(found.join(kept, "root").where("doc_id <> kept_id").select("doc_id", "word", "kept_id", "root", "content").distinct())
-    order = Window.partitionBy("doc_id").orderBy("word")
-    before = F.max("word").over(order.rangeBetween(Window.unboundedPreceding, -1)) + WINDOW
-    islands = removed.withColumn("new", F.when(F.col("word") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    # equal words of several kept ids are one beginning: count an island once
-    islands = islands.groupBy("doc_id", "island", "word").agg(F.collect_set("kept_id").alias("ids"), F.min(F.struct("word", "root", "content", "kept_id")).alias("at"))
-    spans = write(islands.groupBy("doc_id", "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("kept_ids")))
-    grown = _extended(spans, found, docs)
-    order = Window.partitionBy("doc_id").orderBy("begin", "end")
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    merged = grown.withColumn("new", F.when(F.col("begin") <= reached, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("doc_id", "island").agg(F.min("begin").alias("word"), (F.max("end") - F.min("begin")).alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_ids")))).alias("kept_ids"))
-    return spans.select("doc_id", "word", "words", "kept_ids")
+    with scratch() as settle:
+        bucket = Window.partitionBy("bucket")
+        spread = band_rows(docs).select("*", F.min("doc_id").over(bucket).alias("lo"), F.max("doc_id").over(bucket).alias("hi"), F.min("content").over(bucket).alias("hub"), F.max("content").over(bucket).alias("top"))
+        shared = write(spread.where("lo <> hi").select("bucket", "content", "doc_id", "word", "hub", "top"))
+        nodes = write(shared.groupBy("content").agg(F.min(F.struct("doc_id", "word")).alias("at"), F.max("doc_id").alias("last")))
+        where = nodes.select("content", "at.doc_id", "at.word")
+        members = write(shared.where("hub <> top").select("bucket", "content").distinct())
+        roots = write(components(_near(members, where, docs, threshold).distinct()))
+        found = shared.select("content", "doc_id", "word").distinct()
+        # contents that one document has and that are like no other stay out before anything is sorted
+        alone = nodes.where("at.doc_id = last").select("content").join(roots.select(F.col("id").alias("content")), "content", "left_anti")
+        found = found.join(alone, "content", "left_anti").join(roots.withColumnRenamed("id", "content"), "content", "left")
+        found = write(found.select(F.coalesce("root", "content").alias("root"), "doc_id", "word", "content"))
+        kept = found.groupBy("root").agg(F.min("doc_id").alias("kept_id"))
+        removed = write(found.join(kept, "root").where("doc_id <> kept_id").select("doc_id", "word", "kept_id", "root", "content").distinct())
+        order = Window.partitionBy("doc_id").orderBy("word")
+        before = F.max("word").over(order.rangeBetween(Window.unboundedPreceding, -1)) + WINDOW
+        islands = removed.withColumn("new", F.when(F.col("word") <= before, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+        # equal words of several kept ids are one beginning: count an island once
+        islands = islands.groupBy("doc_id", "island", "word").agg(F.collect_set("kept_id").alias("ids"), F.min(F.struct("word", "root", "content", "kept_id")).alias("at"))
+        spans = write(islands.groupBy("doc_id", "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("kept_ids")))
+        grown = _extended(spans, found, docs)
+        order = Window.partitionBy("doc_id").orderBy("begin", "end")
+        reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        merged = grown.withColumn("new", F.when(F.col("begin") <= reached, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        spans = merged.groupBy("doc_id", "island").agg(F.min("begin").alias("word"), (F.max("end") - F.min("begin")).alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_ids")))).alias("kept_ids"))
+        return settle(spans.select("doc_id", "word", "words", "kept_ids"))
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs with the spans of repeated_passages cut out of their texts; all other columns and rows stay as they are.
+    """docs with the spans of repeated_passages cut out of their texts; all other columns and rows stay as they are, whatever they are called.
 
-    A cut goes from the first to behind the last word of the span. A document cut to nothing keeps an empty text.
+    A cut goes from the first to behind the last word of the span; spans that meet or overlap are one. A document cut to nothing keeps an
+    empty text. Rows with a null doc_id or text are left alone, as are spans with a null in them; of rows that repeat a doc_id all
+    are cut at the same words. Without passages nothing changes; an empty table gives an empty table.
     """
-    spans = passages.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words")).alias("cut_spans_"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "cut_doc_id_"), F.col("doc_id") == F.col("cut_doc_id_"), "left").drop("cut_doc_id_")
+    cuts, key = unused("cut_spans", docs.columns), unused("cut_id", docs.columns)
+    spans = passages.where("doc_id is not null and word is not null and words is not null").groupBy("doc_id")
+    spans = spans.agg(F.collect_list(F.struct("word", "words")).alias(cuts)).withColumnRenamed("doc_id", key)
+    joined = docs.join(spans, F.col("doc_id") == F.col(key), "left").select(*[F.col(f"`{c}`") for c in docs.columns], cuts)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = column(batch, "text")
-        cut = column(batch, "cut_spans_").to_pylist()
+        cut = batch.column(batch.num_columns - 1).to_pylist()
+        if not any(cut):
+            return pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
         w = split_words(texts, lower=False)
         out = texts.to_pylist()
         for d, spans_ in enumerate(cut):
             if not spans_ or out[d] is None:
                 continue
             raw, base = out[d].encode(), int(w.doc_start[d])
-            for s in sorted(spans_, key=lambda x: -x["word"]):
-                a = int(w.first[d]) + s["word"]
-                b = min(a + s["words"], int(w.first[d + 1]))
-                if a < b:
-                    raw = raw[: w.start[a] - base] + raw[w.end[b - 1] - base :]
-            out[d] = raw.decode("utf-8", "replace")
+            first, n = int(w.first[d]), int(w.first[d + 1] - w.first[d])
+            merged: list[list[int]] = []
+            for s in sorted(spans_, key=lambda x: x["word"]):
+                begin, end = max(0, s["word"]), min(s["word"] + s["words"], n)
+                if merged and begin <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], end)
+                elif begin < end:
+                    merged.append([begin, end])
+            kept, at = [], 0
+            for begin, end in merged:
+                kept.append(raw[at : int(w.start[first + begin]) - base])
+                at = int(w.end[first + end - 1]) - base
+            out[d] = b"".join([*kept, raw[at:]]).decode("utf-8", "replace")
         at = batch.schema.get_field_index("text")
         arrays = [pa.array(out, c.type) if i == at else c for i, c in enumerate(batch.columns)][:-1]
         return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
 
-    return map_chunks(joined.select(*[F.col(f"`{c}`") for c in docs.columns], "cut_spans_"), "text", run, docs.schema)
+    return map_chunks(joined, "text", run, docs.schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,6 +170,9 @@ def test_mixing_odd(spark, odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.epochs(empty, {}).count() == 0
     with pytest.raises(ValueError):
         mixing.epochs(odd, {"a": -1.0})
+    assert mixing.mix(odd, copy_column="copy").columns == [*odd.columns, "copy_"]  # it has a Copy
+    many = mixing.epochs(odd, {"a": 3.0} | {f"other{i}": 1.0 for i in range(3000)}).collect()
+    assert {r.source: r.weight for r in many} == {"a": 3.0, "b": 1.0, "c": 1.0, None: 1.0}
 
 
 # 3: neighbours
@@ -401,6 +404,16 @@ def test_passages_odd(odd, empty):
     assert len(left[5]) < 1000 < len(left[3])
 
 
+def test_removal_with_clashing_names_and_odd_spans(spark):
+    docs = spark.createDataFrame([("x", 1, "One, two; three four. Five"), ("y", 1, "a b"), (None, None, "One two three"), ("z", 2, None), ("w", 3, "")], "Cut_Spans string, doc_id long, text string").selectExpr("*", "1 as cut_id", "2 as cut_spans_")
+    spans = spark.createDataFrame([(1, 1, 2, [0]), (1, 2, 2, [0]), (1, 1, 2, [9]), (None, 0, 1, [0]), (2, 0, 5, [0]), (1, None, 3, [0])], "doc_id long, word long, words long, kept_ids array<long>")
+    cut = substring_dedup.remove_passages(docs, spans)
+    assert cut.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in cut.collect()) == [("1", "One, . Five"), ("1", "a "), ("2", "None"), ("3", ""), ("None", "One two three")]
+    assert sorted(map(str, substring_dedup.remove_passages(docs, spans.limit(0)).collect())) == sorted(map(str, docs.collect()))
+    assert substring_dedup.remove_passages(docs.limit(0), spans).count() == 0
+
+
 # 6: toxicity
 
 
@@ -494,6 +507,22 @@ def test_table_is_filled_by_turns():
     assert list(table_) == want
 
 
+def test_places_are_those_of_the_slots(spark, folder):
+    """Each document's slot by a hash of its key, its shard by the table, in plain Python."""
+    import xxhash
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionAll(spark.createDataFrame([(None, "a text"), (None, None), (None, "")], "doc_id long, text string"))
+    names = [f"node {i}" for i in range(7)]
+    owner = sharding.lookup_table(names, 1009)
+    signed = lambda raw: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64(raw, seed=42).intdigest())
+    for r in sharding.place(docs, names, slots=1009).collect():
+        raw = (r.text or "").encode() if r.doc_id is None else r.doc_id.to_bytes(8, "little", signed=True)
+        assert r.shard == owner[signed(raw) % 1009]
+    with pytest.raises(ValueError):
+        sharding.place(docs, [])
+
+
 def test_shards_are_even_and_steady():
     a, b = sharding.lookup_table(sharding.shard_names(64)), sharding.lookup_table(sharding.shard_names(63))
     n = np.bincount(a)
