@@ -2,9 +2,9 @@
 
 Rules are filter-list patterns: `||host^` (a host and its subdomains), `|` anchors, `*` wildcards, `^` separators, `/regex/`, a
 leading `@@` for exceptions. Every rule becomes a regular expression and a set of literal tokens that each matching URL
-must contain as whole tokens. Token frequencies are counted over all URLs; the index maps the rarest token of a
-rule to the rule. A URL's tokens fetch its candidates by a hash join, and only these run their regular expressions. Rules without a usable
-token are tried on every URL.
+must contain as whole tokens; those of a `/regex/` rule are read off its parse tree. Token frequencies are counted over all URLs; the
+index maps the rarest token of a rule to the rule. A URL's tokens fetch its candidates by a hash join, and only these run their
+regular expressions. Rules without such a token are joined to every URL by one common key.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from re import _parser
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,58 @@ RULES = (
 #: Rules up to this many are broadcast with their tokens, more are joined by a shuffle.
 BROADCAST_RULES = 200_000
 _SEPARATOR = "[^a-z0-9_.%-]"
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def regex_tokens(pattern: str) -> tuple[str, ...]:
+    """Tokens that are whole in each match of a regular expression: letters and digits that it spells out, between things that can't be either.
+
+    Only what stands in the top-level sequence (or in a group of it) is looked at; alternatives and repetitions end a token on
+    both sides, as do characters and sets that may be a letter or a digit.
+    """
+    try:
+        tree = _parser.parse(pattern)
+    except re.error:
+        return ()
+    if tree.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return ()
+    out: list[str] = []
+    run: list[str] | None = None  # None: what stands in front may be part of a token
+
+    def may_be(op, value) -> bool:
+        """Whether the item can match, or leave room for, a letter or a digit."""
+        if op is _parser.IN:
+            if value and value[0][0] is _parser.NEGATE:
+                covered = {c for kind, v in value[1:] for c in (range(v[0], v[1] + 1) if kind is _parser.RANGE else [v] if kind is _parser.LITERAL else [])}
+                return not set(map(ord, _ALNUM)) <= covered
+            return any(kind is _parser.CATEGORY or (kind is _parser.LITERAL and chr(v) in _ALNUM) or (kind is _parser.RANGE and any(v[0] <= ord(c) <= v[1] for c in _ALNUM)) for kind, v in value)
+        return True
+
+    def close(boundary: bool) -> None:
+        nonlocal run
+        if boundary and run:
+            out.append("".join(run))
+        run = [] if boundary else None
+
+    def walk(items) -> None:
+        nonlocal run
+        for op, value in items:
+            if op is _parser.LITERAL:
+                c = chr(value)
+                if c in _ALNUM:
+                    if run is not None:
+                        run.append(c)
+                else:
+                    close(True)
+            elif op is _parser.AT and value in (_parser.AT_BEGINNING, _parser.AT_BEGINNING_STRING, _parser.AT_END, _parser.AT_END_STRING):
+                close(True)
+            elif op is _parser.SUBPATTERN and not value[1] and not value[2]:
+                walk(value[3])
+            else:
+                close(not may_be(op, value))
+
+    walk(tree)  # what a match ends with may go on in the URL: only a boundary closes a token
+    return tuple(dict.fromkeys(out))
 
 
 @dataclass(frozen=True)
@@ -49,7 +102,7 @@ def parse(rule: str) -> Rule:
     if len(body) > 1 and body.startswith("/") and body.endswith("/"):
         pattern = body[1:-1].replace("\\/", "/")
         re.compile(pattern)
-        return Rule(rule, allow, pattern, ())  # what a regular expression needs is not literal
+        return Rule(rule, allow, pattern, regex_tokens(pattern))
     host, head, tail = body.startswith("||"), body.startswith("|") and not body.startswith("||"), body.endswith("|")
     core = body.strip("|")
     pattern = "".join(".*" if c == "*" else f"(?:{_SEPARATOR}|$)" if c == "^" else re.escape(c) for c in core)
@@ -64,7 +117,8 @@ def parse(rule: str) -> Rule:
 
 
 def _tokens(url) -> "F.Column":
-    return F.array_distinct(F.filter(F.split(F.lower(url), "[^a-z0-9]+"), lambda t: t != ""))
+    """The tokens of a URL, and the empty one, which the rules without a token stand under."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(url), "[^a-z0-9]+")))
 
 
 def hits(pages: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
@@ -84,24 +138,17 @@ def hits(pages: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
         terms = F.broadcast(terms) if len(wanted) <= BROADCAST_RULES else terms
         counted = urls.select(F.explode(_tokens(F.col("url"))).alias("token")).join(terms, "token").groupBy("token").count()
         frequency = {r["token"]: r["count"] for r in counted.collect()}  # as many rows as rules have tokens
-    keyed = [(min(r.tokens, key=lambda t: (frequency.get(t, 0), t)) if r.tokens else None, r.rule, r.allow, r.pattern) for r in parsed]
-    index = spark.createDataFrame([k for k in keyed if k[0] is not None], "token string, rule string, allow boolean, pattern string")
-    always = [k for k in keyed if k[0] is None]
+    keyed = [(min(r.tokens, key=lambda t: (frequency.get(t, 0), t)) if r.tokens else "", r.rule, r.allow, r.pattern) for r in parsed]
+    index = spark.createDataFrame(keyed, "token string, rule string, allow boolean, pattern string")
     index = F.broadcast(index) if len(keyed) <= BROADCAST_RULES else index
-    columns = ["page_id", "url", "rule", "allow"]
-    matches = F.expr("regexp_like(lower(url), pattern)")
-    found = urls.withColumn("token", F.explode(_tokens(F.col("url")))).join(index, "token").where(matches).select(*columns)
-    if always:
-        every = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(a).alias("allow"), F.lower("url").rlike(p).alias("hit")) for _, r, a, p in always])
-        tried = urls.withColumn("tried", F.explode(F.filter(every, lambda s: s["hit"])))
-        found = found.unionAll(tried.select("page_id", "url", "tried.rule", "tried.allow"))
-    return found
+    found = urls.withColumn("token", F.explode(_tokens(F.col("url")))).join(index, "token")
+    return found.where(F.expr("regexp_like(lower(url), pattern)")).select("page_id", "url", "rule", "allow")
 
 
 def decide(pages: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
     """(page_id, url, blocked, rules) of each URL that some rule matches; an exception outweighs all blocks.
 
-    rules are the matching ones, sorted and joined by a space. Repeated rows give one result.
+    rules are the matching ones, sorted and joined by a space. Repeated rows give one result; nulls and empty tables are as in hits().
     """
     matched = hits(pages, rules).groupBy("page_id", "url")
     return matched.agg((~F.max("allow")).alias("blocked"), F.concat_ws(" ", F.array_sort(F.collect_set("rule"))).alias("rules"))

@@ -479,6 +479,26 @@ def test_rule_forms(spark):
     assert {r.page_id: r.blocked for r in url_filters.decide(pages, rules).collect()} == {0: True, 1: False, 4: True}
 
 
+@pytest.mark.parametrize(
+    "pattern, tokens",
+    [(r"^https?://blog\.[a-z]+\.example\.org/fr/", ("blog", "example", "org", "fr")), (r"/(ads)/", ("ads",)), (r"/ads", ()), (r"/(ads|spam)/", ()), (r"/ad+s/", ()), (r"/x?/tail$", ("tail",)), (r"[^a-z0-9]pop[/.]", ("pop",)), (r"[^/]pop[/.]", ()), (r".track\?", ()), (r"(?i)/ads/", ())],
+)
+def test_tokens_of_regular_expressions(pattern, tokens):
+    assert url_filters.regex_tokens(pattern) == tokens
+
+
+def test_random_rules_against_every_rule_on_every_url(spark):
+    rng = random.Random(16)
+    part = lambda: rng.choice(["ads", "ad", "x1", "pop", "en", "b2"])
+    urls = ["http://" + ".".join(part() for _ in range(rng.randint(1, 3))) + "".join(rng.choice("/?&=-.") + part() for _ in range(rng.randint(0, 4))) for _ in range(300)]
+    forms = ["||{}.{}^", "/{}/*{}", "{}={}|", "|http://{}.", "@@*{}/{}|", "/{}[/.]{}/", "/^http:\\/\\/({}|{})\\./", "/[./]{}[^a-z0-9]*{}$/", "*"]
+    rules = [rng.choice(forms).format(part(), part()) for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = {(i, r) for i, u in enumerate(urls) for r in rules if re.search(url_filters.parse(r).pattern, u)}
+    got = [(r.page_id, r.rule) for r in url_filters.hits(pages, rules).collect()]
+    assert set(got) == want and len(got) == len(want) and len({r for _, r in want}) > 20
+
+
 def test_url_filters_odd(spark):
     schema = "page_id long, url string, token string, rule int, pattern int"
     pages = spark.createDataFrame([(None, "http://x.com/?utm_source=feed", "t", 1, 1), (1, None, "t", 1, 1), (2, "", "t", 1, 1), (3, "http://x.com/?utm_source=feed", "t", 1, 1), (3, "http://x.com/?utm_source=feed", "t", 1, 1)], schema)
