@@ -3,8 +3,9 @@
 Each licence notice is a template of words. The inverse document frequency of every template word is counted over the whole corpus;
 the index holds, with their positions, the RARE words of each template with the highest IDF. A file's words are looked
 up in the index; every hit votes for where the notice would begin (position in the file minus position in the template).
-Where enough different rare words agree, up to SLOP words of drift, the mandatory key phrases of the licence have to be
-there, word for word, at their places; only then is the notice reported.
+Where enough different rare words agree, the first mandatory key phrase of the licence has to be there, word for word; around each place
+where it stands, up to SLOP words of drift, the other key phrases and enough different rare words have to be in their places too; only then
+is a notice reported.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ class Index:
         by = np.lexsort((at, begin, template, w.doc[at]))
         doc, template, begin, word = w.doc[at][by], template[by], begin[by], w.hash[at][by]
         found = []
-        # beginnings at most SLOP apart are one candidate
+        # beginnings at most SLOP apart are one candidate region
         new = np.ones(len(by), dtype=bool)
         new[1:] = (doc[1:] != doc[:-1]) | (template[1:] != template[:-1]) | (begin[1:] - begin[:-1] > SLOP)
         edges = np.append(np.flatnonzero(new), len(by))
@@ -126,30 +127,45 @@ class Index:
         for i in np.flatnonzero(enough):
             a, b = edges[i], edges[i + 1]
             k, d = int(template[a]), int(doc[a])
-            if len(set(word[a:b].tolist())) >= self.need[k] and (hit := self._verify(w, d, k, begin[a:b])) is not None:
-                found.append((d, k, *hit))
+            if len(set(word[a:b].tolist())) >= self.need[k]:
+                found += [(d, k, *hit) for hit in self._verify(w, d, k, begin[a:b], word[a:b])]
         return found
 
-    def _verify(self, w: Words, doc: int, k: int, begins: np.ndarray) -> tuple[int, int] | None:
-        """The key phrases at their places up to SLOP words; where they begin, and how many template words are in reach."""
+    def _spots(self, w: Words, phrase: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Words from lo to hi (inclusive) at which the phrase stands."""
+        at = np.arange(lo, hi + 1)
+        for j, h in enumerate(phrase):
+            at = at[w.hash[at + j] == h]
+        return at
+
+    def _verify(self, w: Words, doc: int, k: int, begins: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+        """Where notices begin in a region of agreeing beginnings (sorted), and how many template words are in reach of each."""
         first, last = int(w.first[doc]), int(w.first[doc + 1])
-        lo, hi = int(begins.min()) - SLOP, int(begins.max()) + SLOP
-        earliest = None
-        for place, phrase in self.phrases[k]:
-            spots = [p for p in range(max(first, lo + place), min(last - len(phrase), hi + place) + 1) if (w.hash[p : p + len(phrase)] == phrase).all()]
-            if not spots:
-                return None
-            earliest = spots[0] - place if earliest is None else min(earliest, spots[0] - place)
-        start = max(first, earliest if earliest is not None else int(begins.min()))
-        near = {int(h) for h in w.hash[start : min(last, start + len(self.words[k]) + SLOP)]}
-        return start - first, sum(int(h) in near for h in self.words[k])
+        out = []
+        place, phrase = self.phrases[k][0]
+        for spot in self._spots(w, phrase, max(first, int(begins[0]) - SLOP + place), min(last - len(phrase), int(begins[-1]) + SLOP + place)):
+            start = int(spot) - place
+            lo, hi = np.searchsorted(begins, [start - SLOP, start + SLOP + 1])
+            if len(set(words[lo:hi].tolist())) < self.need[k]:
+                continue
+            earliest = start
+            for other, ph in self.phrases[k][1:]:
+                spots = self._spots(w, ph, max(first, start - SLOP + other), min(last - len(ph), start + SLOP + other))
+                if not len(spots):
+                    break
+                earliest = min(earliest, int(spots[0]) - other)
+            else:
+                begin = max(first, earliest)
+                near = {int(h) for h in w.hash[begin : min(last, begin + len(self.words[k]) + SLOP)]}
+                out.append((begin - first, sum(int(h) in near for h in self.words[k])))
+        return out
 
 
 def scan(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, license, word, coverage, notice) of each licence notice of each row; word counts from 0.
 
     coverage is the share of the template's words that are there. Templates that agree on the licence and overlap give one
-    row, the one with the greatest coverage, then the first. Repeated rows give repeated results; a null doc_id stays null; null and empty texts have none.
+    row, the one with the greatest coverage, of equals the first, of these the longest. Repeated rows give repeated results; a null doc_id stays null; null and empty texts have none.
     Only doc_id and text are read. An empty table gives no rows. Texts are read twice: to count the
     document frequencies, and to look the words up.
     """

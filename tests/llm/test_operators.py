@@ -294,8 +294,61 @@ def test_licenses_of_a_long_document_are_one_a_place(spark):
     assert sorted(got) == [17 * i for i in range(200)]
 
 
-def test_licenses_odd(odd, empty):
+def scan_every_position(rows, index):
+    """Each template at each word of each text, word by word; then the same choice among overlapping ones, each compared with all accepted."""
+    out = []
+    for doc, text in rows:
+        body, hits = plain(text), []
+        for k, t in enumerate(index.templates):
+            own, rare = plain(t.text), {}
+            for h, tk, p in zip(index.key, index.template, index.place):
+                if tk == k:
+                    rare.setdefault(own[p], []).append(int(p))
+            phrases = [plain(p) for p in t.phrases]
+            places = [next(i for i in range(len(own)) if own[i : i + len(p)] == p) for p in phrases]
+            stands = lambda p, i: i >= 0 and body[i : i + len(p)] == p
+            for start in range(-len(own), len(body)):
+                drift = range(start - licenses.SLOP, start + licenses.SLOP + 1)
+                if not stands(phrases[0], start + places[0]):
+                    continue
+                if sum(any(0 <= s + p < len(body) and body[s + p] == word for p in ps for s in drift) for word, ps in rare.items()) < index.need[k]:
+                    continue
+                spots = [[s for s in drift if stands(p, s + at)] for p, at in zip(phrases[1:], places[1:])]
+                if all(spots):
+                    begin = max(0, min([start, *(x[0] for x in spots)]))
+                    hits.append((t.license, -sum(x in body[begin : begin + len(own) + licenses.SLOP] for x in own) / len(own), begin, -len(own)))
+        for name, cover, begin, size in sorted(hits):
+            if not any(d == doc and n == name and a < begin - size and begin < b for d, n, a, b, _ in out):
+                out.append((doc, name, begin, begin - size, round(-cover, 6)))
+    return {(d, n, a, c) for d, n, a, _, c in out}
+
+
+def test_licenses_against_a_scan_of_every_position(spark):
+    rng = random.Random(17)
+    bits = [x for t in licenses.TEMPLATES for x in plain(t.text)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 12)):
+            notice = rng.choice(licenses.TEMPLATES).text.split()
+            if rng.random() < 0.4:
+                notice.insert(rng.randrange(len(notice) + 1), rng.choice(bits))
+            if rng.random() < 0.3:
+                del notice[rng.randrange(len(notice))]
+            parts += [" ".join(notice), " ".join(rng.choice(bits) for _ in range(rng.choice([0, 0, 1, 3, 9])))]
+        rows.append((i, " ".join(parts)))
+    rows += [(60, "MIT MIT license " * 9 + "Licensed under the MIT license " * 7), (61, "Released under the MIT License. " * 60), (62, "licensed under the MIT license " * 120)]
+    docs = table(spark, [(i, t, "s") for i, t in rows])
+    index = licenses.Index(licenses.TEMPLATES, *licenses.document_frequency(docs))
+    got = [(r.doc_id, r.license, r.word, r.coverage) for r in licenses.scan(docs).collect()]
+    assert set(got) == scan_every_position(rows, index) and len(got) == len(set(got)) > 100
+    assert sum(r[0] == 61 for r in got) == 60 and sum(r[0] == 62 for r in got) == 120
+
+
+def test_licenses_odd(spark, odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
+    hit = spark.createDataFrame([(None, "Licensed under CC BY 4.0", 1), (1, "Licensed under CC BY 4.0", 2), (1, "Licensed under CC BY 4.0", 3), (2, None, 4)], "doc_id long, text string, license int")
+    assert sorted((r.doc_id or 0, r.license, r.word) for r in licenses.scan(hit).collect()) == [(0, "CC-BY-4.0", 0), (1, "CC-BY-4.0", 0), (1, "CC-BY-4.0", 0)]
 
 
 # 5: repeated passages
