@@ -4,7 +4,8 @@ Words are mapped to classes (insult, threat, target, negation, reported speech,
 weighted transducers each read the classes of a clause and know one thing: an insult, a threat, a target, a negation in
 front of either, a report ("she said") in front of either. They are composed into one deterministic machine, whose
 weight for a clause is the product of what the five say, so that "you idiot" outweighs "idiot", and "he said you are
-not an idiot" is next to nothing. A document's score is the sum over its clauses.
+not an idiot" is next to nothing. The machines read from left to right: a target or a negation counts for what stands behind it. A
+document's score is the sum over its clauses.
 
 The insult and threat words are a seed list, extended from labelled rows (a bounded sample, see Lexicon learning below).
 """
@@ -247,8 +248,8 @@ class _Scorer:
 def toxic_clauses(docs: DataFrame, lexicon: Lexicon, *, reject: float = REJECT) -> DataFrame:
     """(doc_id, score, clauses, top_weight, top_clause) of each row of docs that the grammar rejects.
 
-    A null or empty text scores 0 and is not rejected; a null doc_id stays null in its row; repeated rows give repeated rows;
-    other columns of docs are not read. An empty table gives no rows.
+    A null or empty text scores 0 and is not rejected; a null doc_id stays null in its row; repeated rows give repeated rows; of equally
+    heavy clauses the first is top_clause. Other columns of docs are not read. An empty table gives no rows.
     """
     scorer = _Scorer(lexicon, grammar())
 
@@ -264,7 +265,8 @@ def toxic_clauses(docs: DataFrame, lexicon: Lexicon, *, reject: float = REJECT)
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, *, reject: float = REJECT) -> DataFrame:
     """The rows of docs that the grammar does not reject, with all their columns whatever they are called.
 
-    One pass without a shuffle. Rows with a null text or doc_id stay unless their text is rejected.
+    One pass without a shuffle. A row with a null or empty text stays, one with a null doc_id is judged by its text, repeated rows go or
+    stay alike. An empty table gives an empty table.
     """
     scorer = _Scorer(lexicon, grammar())
 

@@ -496,6 +496,39 @@ def test_composition_is_the_product_of_the_machines():
         assert total == pytest.approx(want)
 
 
+def judge_plainly(text, lexicon):
+    """Clause by clause, word by word, each of the five machines on its own: score, clauses, heaviest, its text."""
+    machines = [toxicity.insults(), toxicity.threats(), toxicity.targets(), toxicity.negations(), toxicity.reports()]
+    classes = {w: c for c, ws in ((toxicity.LINK, toxicity.LINKS), (toxicity.REPORT, toxicity.REPORTS), (toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.TARGET, toxicity.TARGETS), (toxicity.THREAT, toxicity.THREATS), (toxicity.INSULT, lexicon.words)) for w in ws}
+    totals = []
+    for clause in re.split(r"[.,;:!?\n()\"]", (text or "").lower()):
+        states, total, heavy = [0] * 5, 0.0, False
+        for word in plain(clause):
+            c = classes.get(word, toxicity.INSULT if any(word.startswith(s) and word != s for s in lexicon.stems) else toxicity.OTHER)
+            heavy |= c in (toxicity.INSULT, toxicity.THREAT)
+            total += np.prod([m.factor[s] for m, s in zip(machines, states)]) * sum(m.gain[s][c] for m, s in zip(machines, states))
+            states = [m.to[s][c] for m, s in zip(machines, states)]
+        if heavy:
+            totals.append((total, re.sub(r"^\W+|\W+$", "", clause)))
+    best = max(totals, key=lambda t: t[0], default=(0.0, None))
+    return sum(t for t, _ in totals), len(totals), *best
+
+
+def test_toxicity_against_a_plain_version(spark):
+    rng = random.Random(18)
+    pool = toxicity.INSULTS[:6] + toxicity.THREATS[:3] + toxicity.TARGETS[:6] + toxicity.NEGATIONS[:5] + toxicity.REPORTS[:4] + toxicity.LINKS[:8] + ["house", "river", "grubbing", "grubb", "écrit", "42"] * 4
+    say = lambda n: "".join(rng.choice(pool) + rng.choice([" "] * 7 + [", ", ". ", "! ", ": ", "\n", " (", '" ']) for _ in range(n))
+    rows = [(i, say(rng.choice([0, 1, 5, 40, 2000]))) for i in range(150)] + [(150, None), (None, "you idiot"), (None, "you idiot"), (151, "you idiot. you moron")]
+    lexicon = toxicity.Lexicon(stems=("grubb",))
+    docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, score int, clauses string")
+    got = sorted((str(r.doc_id), round(r.score, 4), r.clauses, round(r.top_weight, 4), r.top_clause) for r in toxicity.toxic_clauses(docs, lexicon).collect())
+    want = [(str(i), *judge_plainly(t, lexicon)) for i, t in rows]
+    want = sorted((i, round(s, 4), n, round(w, 4), c) for i, s, n, w, c in want if s >= toxicity.REJECT)
+    assert got == want and 20 < len(want) < len(rows) and ("None", 1.5, 1, 1.5, "you idiot") in got and ("151", 3.0, 2, 1.5, "you idiot") in got
+    stay = [(i, t) for i, t in rows if judge_plainly(t, lexicon)[0] < toxicity.REJECT]
+    assert sorted((str(r.doc_id), str(r.text)) for r in toxicity.drop_toxic(docs, lexicon).collect()) == sorted((str(i), str(t)) for i, t in stay)
+
+
 def test_lexicon_on_held_out_labels(spark, folder):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     train, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
