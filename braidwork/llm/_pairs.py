@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import column
+from ._words import column, release_memory
 
 PART, PART_ITEMS = 2048, 1 << 21
 #: Vocabulary columns of an incidence matrix at a time.
@@ -41,6 +41,8 @@ def map_groups(df: DataFrame, key: str, function: Callable[[pa.RecordBatch], Ite
             held = [together.slice(cut)]
         if held:
             yield from function(whole(held))
+        held.clear()
+        release_memory()
 
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
