@@ -7,7 +7,6 @@ word boundaries and hashes of the whole chunk at once. No text is cut short, how
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -142,10 +141,6 @@ def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 def release_memory() -> None:
     """Give memory that isn't used back to the system: workers are kept, and what one task held is not the next one's."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library than glibc
-        pass
 
 
 def map_chunks(df: DataFrame, text: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:

@@ -50,6 +50,10 @@ class Tests:
         at = np.flatnonzero((left >= need) & (size[self.item] >= least_item))
         return at, need[at]
 
+    def broadcast(self, spark: SparkSession):
+        """The arrays alone: executors needn't have this package."""
+        return spark.sparkContext.broadcast((self.hash, self.item, self.first, self.ids))
+
 
 def read_tests(benchmark: DataFrame) -> Iterator[Tests]:
     """The benchmark, slice by slice: the driver holds one. Items with a null id or text, or without a word, are left out."""
@@ -191,10 +195,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORDS
     schema = "doc_id long, item_id long, words long, item_word long, doc_word long, passage string"
     found = spark.createDataFrame([], schema)
     for slice_ in read_tests(benchmark):
-        shared = spark.sparkContext.broadcast(slice_)
+        shared = slice_.broadcast(spark)
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
-            tests, w = shared.value, split_words(column(batch, "text"))
+            tests, w = Tests(*shared.value), split_words(column(batch, "text"))
             train, test, length = _search(w, tests, min_words, least_item)
             if not len(train):
                 return None
@@ -221,12 +225,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN
     for slice_ in read_tests(benchmark):
         if clean is not docs:  # what another slice left is written, so that no task holds two
             clean = write(clean)
-        shared = docs.sparkSession.sparkContext.broadcast(slice_)
+        shared = slice_.broadcast(docs.sparkSession)
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             w = split_words(column(batch, "text"))
             good = np.ones(w.n, dtype=bool)
-            good[w.doc[_search(w, shared.value, min_words, least_item)[0]]] = False
+            good[w.doc[_search(w, Tests(*shared.value), min_words, least_item)[0]]] = False
             return batch.filter(pa.array(good))
 
         clean = map_chunks(clean, "text", run, docs.schema)
