@@ -9,13 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_GUARD = "guard_"
+from .names import unused
+
+
+class NotAdmitted(ValueError):
+    """The shape isn't safe or possible on a stream."""
+
+
+def batch_only(df: DataFrame, operation: str) -> None:
+    if df.isStreaming:
+        raise NotAdmitted(f"{operation} is for batches")
 
 
 def _with_guard(df: DataFrame, violations: DataFrame, code: str, message: str) -> DataFrame:
     """df, if violations is empty; at most one row of it is read."""
-    guard = violations.limit(1).agg(F.assert_true(F.count(F.lit(1)) == 0, F.lit(f"{code}: {message}")).alias(_GUARD))
-    return guard.where(F.col(_GUARD).isNull()).crossJoin(df).drop(_GUARD)
+    batch_only(df, f"a check ({code})")
+    name = unused("guard", df.columns)
+    guard = violations.limit(1).agg(F.assert_true(F.count(F.lit(1)) == 0, F.lit(f"{code}: {message}")).alias(name))
+    return guard.where(F.col(name).isNull()).crossJoin(df).drop(name)
 
 
 def require_unique(df: DataFrame, *keys: str) -> DataFrame:

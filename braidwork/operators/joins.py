@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .guards import _with_guard, best_ties, exactly_one
+from .guards import _with_guard, batch_only, best_ties, exactly_one
+from .names import unused
 
 STRATEGIES = {"broadcast_hash": "broadcast", "shuffle_hash": "shuffle_hash", "sort_merge": "merge", "shuffle_replicate_nl": "shuffle_replicate_nl"}
 HOW = ("left", "inner", "right", "full", "cross")
@@ -75,7 +76,8 @@ def lookup_join(df: DataFrame, relation: DataFrame, keys: Sequence[str], *, how:
     if by := latest_by or earliest_by:
         tied = best_ties(relation, keys, by, bool(latest_by))
         place = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(by) if latest_by else F.asc_nulls_last(by))
-        relation = relation.withColumn("place_", F.row_number().over(place)).where("place_ = 1").drop("place_")
+        first = unused("place", relation.columns)
+        relation = relation.withColumn(first, F.row_number().over(place)).where(F.col(first) == 1).drop(first)
         # on the result: an outer join whose right side nobody reads is optimised away
         return _with_guard(df.join(_hinted(relation, strategy), keys, how), tied, "TIE", f"equal {by} for a key")
     return df.join(_hinted(relation, strategy), keys, how)
@@ -84,22 +86,32 @@ def lookup_join(df: DataFrame, relation: DataFrame, keys: Sequence[str], *, how:
 def temporal_one(df: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, valid_from: str, valid_to: str, *, how: str = "left", check_overlaps: bool = True) -> DataFrame:
     """The version of each row's keys that is valid at its time: valid_from <= at < valid_to, a null valid_to is open. Overlapping versions raise."""
     keys = list(keys)
-    overlaps = None
-    if check_overlaps:
-        order = Window.partitionBy(*keys).orderBy(valid_from)
-        earlier = F.max(F.coalesce(F.col(valid_to), F.lit("9999-12-31").cast("timestamp"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        overlaps = versions.withColumn("before_", earlier).where(F.col("before_") > F.col(valid_from))
-    renamed = versions.select(*[F.col(k).alias(f"{k}_v_") for k in keys], *[c for c in versions.columns if c not in keys])
-    same = [F.col(k) == F.col(f"{k}_v_") for k in keys]
-    valid = (F.col(valid_from) <= F.col(at)) & (F.col(valid_to).isNull() | (F.col(at) < F.col(valid_to)))
-    on = valid
-    for s in reversed(same):
-        on = s & on
-    joined = df.join(renamed, on, how).drop(*[f"{k}_v_" for k in keys])
-    return joined if overlaps is None else _with_guard(joined, overlaps, "OVERLAP", "versions of a key overlap")
-
-
-def as_of_one(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, *, direction: str = "backward", tolerance: str | None = None, how: str = "left") -> DataFrame:
+    batch_only(df, "temporal_one")
+    batch_only(versions, "temporal_one")
+    others = [c for c in versions.columns if c not in keys]
+    if not check_overlaps:  # several versions can be valid at once, and each row meets all of them
+        copies = {k: unused(f"{k}_version", [*df.columns, *versions.columns]) for k in keys}
+        renamed = versions.select(*[F.col(k).alias(c) for k, c in copies.items()], *others)
+        on = (F.col(valid_from) <= F.col(at)) & (F.col(valid_to).isNull() | (F.col(at) < F.col(valid_to)))
+        for k, c in reversed(copies.items()):
+            on = (F.col(k) == F.col(c)) & on
+        return df.join(renamed, on, how).drop(*copies.values())
+    live = versions.where(F.col(valid_to).isNull() | (F.col(valid_from) < F.col(valid_to)))
+    before = unused("before", versions.columns)
+    order = Window.partitionBy(*keys).orderBy(valid_from)
+    earlier = F.max(F.coalesce(F.col(valid_to), F.lit("9999-12-31").cast("timestamp"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    overlaps = live.withColumn(before, earlier).where(F.col(before) > F.col(valid_from))
+    # without overlaps the version that began last is the only one that can be valid
+    begin, version = (unused(n, [*df.columns, *keys]) for n in ("begin", "version"))
+    found = as_of_one(df, live.select(*keys, F.col(valid_from).alias(begin), F.struct(*others).alias(version)), keys, at, begin, _ordered=False)
+    valid = F.col(version).isNotNull() & (F.col(f"{version}.{valid_to}").isNull() | (F.col(at) < F.col(f"{version}.{valid_to}")))
+    if how == "inner":
+        found = found.where(valid)
+    joined = found.select(*df.columns, *[F.when(valid, F.col(f"{version}.{c}")).alias(c) for c in others])
+    return _with_guard(joined, overlaps, "OVERLAP", "versions of a key overlap")
+
+
+def as_of_one(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, *, direction: str = "backward", tolerance: str | None = None, how: str = "left", _ordered: bool = True) -> DataFrame:
     """Each left row with the right row of its keys that is nearest in time: backward the last not after it, forward the first not before it.
 
     Both sides are put under one another and sorted once by keys and time: no row meets more than its match, so a busy key
@@ -109,14 +121,17 @@ def as_of_one(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError("direction is backward, forward or nearest")
+    batch_only(left, "as_of_one")
+    batch_only(right, "as_of_one")
     keys = list(keys)
     extra = [c for c in right.columns if c not in keys]
     payload = F.struct(F.col(right_time).alias("t_"), *[F.col(c) for c in extra if c != right_time])
     r = right.where(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("time_"), payload.alias("right_"), F.lit(0).alias("side_"))
     l = left.select(*keys, F.col(left_time).alias("time_"), F.struct(*left.columns).alias("left_"), F.lit(1).alias("side_"))
     both = l.unionByName(r, allowMissingColumns=True)
-    back = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("time_"), "side_", F.asc_nulls_first("right_")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc_nulls_first("time_"), "side_", F.asc_nulls_first("right_")).rowsBetween(Window.unboundedPreceding, 0)
+    tie = [F.asc_nulls_first("right_")] if _ordered else []
+    back = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("time_"), "side_", *tie).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc_nulls_first("time_"), "side_", *tie).rowsBetween(Window.unboundedPreceding, 0)
     usable = F.col("time_").isNotNull()
     for k in keys:
         usable &= F.col(k).isNotNull()

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .guards import _with_guard, best_ties
+from .guards import NotAdmitted, _with_guard, batch_only, best_ties
+from .names import unused
 
 
 def where(df: DataFrame, *predicates: Column) -> DataFrame:
@@ -25,6 +26,7 @@ def project(df: DataFrame, names: Sequence[str], **new: Column) -> DataFrame:
 
 
 def order_by(df: DataFrame, *orderings: Column | str) -> DataFrame:
+    batch_only(df, "order_by")
     return df.orderBy(*orderings)
 
 
@@ -32,6 +34,7 @@ def limit(df: DataFrame, count: int, *orderings: Column | str) -> DataFrame:
     """The first rows of an order, without a full sort."""
     if count < 0 or not orderings:
         raise ValueError("limit needs a count of 0 or more and an order")
+    batch_only(df, "limit")
     return df.orderBy(*orderings).limit(count)
 
 
@@ -39,6 +42,7 @@ def offset(df: DataFrame, count: int, *orderings: Column | str) -> DataFrame:
     """All rows of an order but the first ones."""
     if count < 0 or not orderings:
         raise ValueError("offset needs a count of 0 or more and an order")
+    batch_only(df, "offset")
     return df.orderBy(*orderings).offset(count)
 
 
@@ -48,15 +52,18 @@ def sample(df: DataFrame, fraction: float, *, with_replacement: bool = False, se
         raise ValueError("fraction is 0 to 1, or 0 and more with replacement")
     if seed is None and reproducible:
         raise ValueError("a reproducible sample needs a seed")
+    batch_only(df, "sample")
     return df.sample(with_replacement, fraction, seed) if seed is not None else df.sample(with_replacement, fraction)
 
 
 def _one(df: DataFrame, by: str, partition_by: Sequence[str], latest: bool, ties: str) -> DataFrame:
     if ties not in ("error", "any"):
         raise ValueError("ties is error or any")
+    batch_only(df, "latest_by" if latest else "earliest_by")
     keys = list(partition_by)
     order = F.desc_nulls_last(by) if latest else F.asc_nulls_last(by)
-    one = df.withColumn("place_", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("place_ = 1").drop("place_")
+    place = unused("place", df.columns)
+    one = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col(place) == 1).drop(place)
     if ties == "any":
         return one
     tied = best_ties(df, keys, by, latest)
@@ -90,9 +97,12 @@ def select_first_qualified(df: DataFrame, keys: Sequence[str], *, where: Column,
     return chosen
 
 
-def top_k(df: DataFrame, k: int, *, partition_by: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
-    """The first k rows of each partition, with their place in column rank."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order_by))).where(F.col("rank") <= k)
+def top_k(df: DataFrame, k: int, *, partition_by: Sequence[str], order_by: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """The first k rows of each partition, with their place in a new column; one of that name that df has already is an error."""
+    batch_only(df, "top_k")
+    if unused(rank, df.columns) != rank:
+        raise ValueError(f"there is a column {rank} already; name another")
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order_by))).where(F.col(rank) <= k)
 
 
 def distinct(df: DataFrame) -> DataFrame:
@@ -118,13 +128,20 @@ def _same_shape(a: DataFrame, b: DataFrame) -> None:
         raise ValueError("the relations have different columns")
 
 
+def _both_or_neither(a: DataFrame, b: DataFrame) -> None:
+    if a.isStreaming != b.isStreaming:
+        raise NotAdmitted("a stream is united with streams only")
+
+
 def union_all(a: DataFrame, b: DataFrame) -> DataFrame:
     _same_shape(a, b)
+    _both_or_neither(a, b)
     return a.unionAll(b)
 
 
 def union_by_name(a: DataFrame, b: DataFrame, *, allow_missing_columns: bool = False, defaults: Mapping[str, object] | None = None) -> DataFrame:
     """Columns by name. Missing ones are null, or the default of their name (a dotted path for a field of a struct)."""
+    _both_or_neither(a, b)
     if defaults and not allow_missing_columns:
         raise ValueError("defaults need allow_missing_columns")
     out = [a, b]
@@ -139,18 +156,26 @@ def union_by_name(a: DataFrame, b: DataFrame, *, allow_missing_columns: bool = F
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    batch_only(a, "intersect")
+    batch_only(b, "intersect")
     return a.intersect(b)
 
 
 def intersect_all(a: DataFrame, b: DataFrame) -> DataFrame:
+    batch_only(a, "intersect_all")
+    batch_only(b, "intersect_all")
     return a.intersectAll(b)
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
+    batch_only(a, "subtract")
+    batch_only(b, "subtract")
     return a.subtract(b)
 
 
 def except_all(a: DataFrame, b: DataFrame) -> DataFrame:
+    batch_only(a, "except_all")
+    batch_only(b, "except_all")
     return a.exceptAll(b)
 
 
@@ -159,6 +184,8 @@ def cache(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) ->
 
 
 def boundary(df: DataFrame, name: str) -> DataFrame:
-    """A named view of df, read again: shorter plan text, the same plan."""
+    """A named view of df, read again: shorter plan text, the same plan. The view itself goes; what was read from it stays."""
     df.createOrReplaceTempView(name)
-    return df.sparkSession.table(name)
+    table = df.sparkSession.table(name)
+    df.sparkSession.catalog.dropTempView(name)
+    return table
