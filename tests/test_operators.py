@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from braidwork.functions import documents as D
 from braidwork.operators import aggregates as A
@@ -202,3 +203,85 @@ def test_step_graphs(spark, pairs):
         compose.Graph(x=lambda y: y, y=lambda x: x).run()
     assert compose.chain(lambda df: df.where("k = 1"), lambda df: df.limit(1))(pairs).count() == 1
     assert "Filter" in compose.plan_text(pairs.where("k = 1"))
+
+
+def _in_parts(spark, folder, tmp_path):
+    """The events in three files, so that there are three micro-batches."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    events.repartitionByRange(3, "ts").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("customer",):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling_window", "stream_sliding_window", "stream_key_aggregate", "stream_progress", "stream_row_local", "stream_dedupe", "stream_union", "stream_static_join"])
+def test_streams_in_several_batches_are_the_same(spark, folder, tmp_path, monkeypatch, name):
+    from braidwork.plans import registry
+    from braidwork.plans import streams as plans
+
+    monkeypatch.setattr(plans, "FILES", 1)
+    got = registry.queries()[name](spark, _in_parts(spark, folder, tmp_path))
+    want = registry.queries()[name](spark, folder)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_plans_are_admitted_or_refused(spark, folder):
+    from braidwork.plans import streams as plans
+    from braidwork.plans.book import Tables
+    from braidwork.streaming import streams as S
+
+    t = Tables(spark, folder)
+    events = plans._events(t)
+    marked = S.watermark(events, "ts", delay="1 hour")
+    by_hour = marked.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    other = S.watermark(plans._events(t).select(F.col("user_id").alias("who"), F.col("ts").alias("at")), "at", delay="1 hour")
+    on = F.col("user_id") == F.col("who")
+    near = on & S.event_time_between(F.col("ts"), F.col("at"), upper="1 hour")
+    fine = [(events.where("value > 1"), S.APPEND, "ok"), (by_hour, S.UPDATE, "ok"), (events.groupBy("user_id").count(), S.UPDATE, "unbounded"), (S.rewindowed(by_hour, "w", "1 day", metrics={"n": F.sum("n")}), S.APPEND, "ok"),
+            (marked.dropDuplicatesWithinWatermark(["event_id"]), S.APPEND, "ok"), (marked.join(other, near), S.APPEND, "ok"), (events.join(t.customer, F.col("user_id") == F.col("c_custkey"), "left"), S.APPEND, "ok"), (S.sessions(events, "ts", "1 hour", "user_id", metrics={"n": F.count("*")}), S.APPEND, "ok")]
+    assert [S.admit_plan(df, output) for df, output, _ in fine] == [word for *_, word in fine]
+    refused = [(events.orderBy("ts"), S.APPEND), (events.limit(3), S.APPEND), (events.groupBy(F.window("ts", "1 hour")).count(), S.APPEND), (by_hour, S.COMPLETE), (events.groupBy("user_id").count(), S.APPEND), (by_hour.groupBy("event_type").count(), S.COMPLETE), (S.rewindowed(by_hour, "w", "1 day", metrics={"n": F.sum("n")}), S.UPDATE),
+               (events.dropDuplicates(["event_id"]), S.APPEND), (marked.join(other, on), S.APPEND), (events.join(other, near), S.APPEND), (events.join(t.customer, F.col("user_id") == F.col("c_custkey"), "right"), S.APPEND), (events.select(F.row_number().over(Window.partitionBy("user_id").orderBy("ts"))), S.APPEND), (t.events, S.APPEND)]
+    for df, output in refused:
+        with pytest.raises(S.NotAdmitted):
+            S.for_each_batch(df, lambda batch, n: None, "/tmp/never", output=output)
+
+
+def test_batch_operators_refuse_streams(spark, folder):
+    from braidwork.operators import joins as J
+    from braidwork.operators import relations as R
+    from braidwork.operators.guards import NotAdmitted
+    from braidwork.plans import streams as plans
+    from braidwork.plans.book import Tables
+
+    t = Tables(spark, folder)
+    events = plans._events(t)
+    for refused in (lambda: R.order_by(events, "ts"), lambda: R.limit(events, 1, "ts"), lambda: R.sample(events, 0.5, seed=1), lambda: R.latest_by(events, "ts", partition_by=["user_id"]), lambda: R.top_k(events, 1, partition_by=["user_id"], order_by=[F.col("ts")]), lambda: R.subtract(events, events), lambda: R.union_all(events, t.events.withColumn("ts", F.col("ts").cast("timestamp"))), lambda: J.as_of_one(events, t.events, ["user_id"], "ts", "ts")):
+        with pytest.raises(NotAdmitted):
+            refused()
+
+
+def test_helper_columns_leave_those_of_the_tables_alone(spark):
+    from braidwork.operators import joins as J
+    from braidwork.operators import relations as R
+
+    df = spark.createDataFrame([(1, 1, "a", "g", "me"), (1, 2, "b", "g", "you"), (2, 1, "c", "h", "it")], "k int, t int, place_ string, guard string, rank string")
+    assert sorted(map(tuple, R.latest_by(df, "t", partition_by=["k"]).collect())) == [(1, 2, "b", "g", "you"), (2, 1, "c", "h", "it")]
+    looked = J.lookup_join(spark.createDataFrame([(1,), (3,)], "k int"), df.withColumnRenamed("place_", "Place"), ["k"], latest_by="t")
+    assert looked.columns == ["k", "t", "Place", "guard", "rank"] and sorted(r.Place or "" for r in looked.collect()) == ["", "b"]
+    with pytest.raises(ValueError):
+        R.top_k(df, 1, partition_by=["k"], order_by=[F.desc("t")])
+    assert sorted((r["rank"], r.n) for r in R.top_k(df, 1, partition_by=["k"], order_by=[F.desc("t")], rank="n").collect()) == [("it", 1), ("you", 1)]
+
+
+def test_folds_in_chunks_of_any_length(spark):
+    from braidwork.operators.scan import scan
+
+    rows = [(k, i, float(i % 7)) for k, n in ((0, 1), (1, 2), (2, 5), (3, 17), (4, 1000)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    got = {(r.k, r.i): r.state for r in scan(df, initial=F.lit(0.0), step=lambda s, r: s * 0.5 + r["v"], partition_by=["k"], order_by=["i"], max_rows=2000).collect()}
+    for k in range(5):
+        state = 0.0
+        for _, i, v in [r for r in rows if r[0] == k]:
+            assert got[k, i] == pytest.approx(state)
+            state = state * 0.5 + v
