@@ -42,9 +42,22 @@ def arr_sort_by(value, key: Callable[[Column], Column], *, descending: bool = Fa
     return F.array_sort(value, compare)
 
 
-def map_concat(*values) -> Column:
-    """One map; a key that repeats is an error (Spark's default policy)."""
-    return F.map_concat(*values)
+def _filled(keep: Column, fill: Column) -> Column:
+    return F.map_concat(keep, F.map_filter(fill, lambda k, v: ~F.map_contains_key(keep, k)))
+
+
+def map_concat(*values, duplicates: str = "error") -> Column:
+    """One map. A key that repeats is an error (Spark's default policy), or has its first or its last value."""
+    if duplicates == "error":
+        return F.map_concat(*values)
+    if duplicates not in ("first", "last"):
+        raise ValueError("duplicates is error, first or last")
+    maps = [F.col(v) if isinstance(v, str) else v for v in values]
+    one = maps[0]
+    for other in maps[1:]:
+        keep, fill = (one, other) if duplicates == "first" else (other, one)
+        one = _filled(keep, fill)
+    return one
 
 
 def map_transform_keys(value, function: Callable[[Column, Column], Column]) -> Column:

@@ -83,34 +83,34 @@ def null_control_and_casts(t: Tables) -> DataFrame:
     )
 
 
-_E = "(SELECT vec_id, list_transform(embedding[1:6], lambda x: (x * 100)::INT) AS a, list_transform(embedding[5:9], lambda x: (x * 100)::INT) AS b FROM embeddings)"
+_E = "(SELECT vec_id, list_transform(embedding, lambda x: (x * 100)::INT) AS a, list_transform(list_reverse(embedding), lambda x: (x * 50)::INT) AS b FROM embeddings)"
 
 
 def _arrays(t: Tables) -> DataFrame:
-    whole = lambda s, n: F.transform(F.slice("embedding", s, n), lambda x: F.rint(x * 100).cast("int"))
-    return t.embeddings.select("vec_id", whole(1, 6).alias("a"), whole(5, 5).alias("b"))
+    whole = lambda items, by: F.transform(items, lambda x: F.rint(x * by).cast("int"))
+    return t.embeddings.select("vec_id", whole("embedding", 100).alias("a"), whole(F.reverse("embedding"), 50).alias("b"))
 
 
-@BOOK.query(f"""SELECT vec_id, len(a)::INT AS n, list_contains(a, 3) AS c, coalesce(list_position(a, 3), 0)::BIGINT AS p, a[2] AS e, a[60] AS te, a[2:4] AS sl, list_append(a, 9) AS ap, list_prepend(9, a) AS pr, list_concat(a[1:1], [7], a[2:]) AS ins,
+@BOOK.query(f"""SELECT vec_id, len(a)::INT AS n, list_contains(a, 3) AS c, coalesce(list_position(a, 3), 0)::BIGINT AS p, a[2] AS e, a[100] AS te, a[2:4] AS sl, list_append(a, 9) AS ap, list_prepend(9, a) AS pr, list_concat(a[1:1], [7], a[2:]) AS ins,
       list_filter(a, lambda x: x <> 3) AS rm, list_sort(list_distinct(list_concat(a, b))) AS un, list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))) AS ex, list_sort(list_intersect(a, b)) AS it, list_sort(list_distinct(a)) AS di,
       flatten([a, b]) AS fl, list_reverse(a) AS rv, list_sort(a) AS so, list_filter([a[1], NULL, a[2]], lambda x: x IS NOT NULL) AS co, [vec_id, vec_id] AS re, range(1, 6, 2) AS sq FROM {_E}""")
 def array_functions(t: Tables) -> DataFrame:
     a, b, v = F.col("a"), F.col("b"), F.col("vec_id")
     return _arrays(t).select(
-        "vec_id", C.size(a).alias("n"), C.array_contains(a, 3).alias("c"), C.arr_position(a, 3).alias("p"), C.element_at(a, 2).alias("e"), C.try_element_at(a, F.lit(60)).alias("te"), C.slice(a, 2, 3).alias("sl"), C.arr_append(a, 9).alias("ap"), C.arr_prepend(a, 9).alias("pr"),
+        "vec_id", C.size(a).alias("n"), C.array_contains(a, 3).alias("c"), C.arr_position(a, 3).alias("p"), C.element_at(a, 2).alias("e"), C.try_element_at(a, F.lit(100)).alias("te"), C.slice(a, 2, 3).alias("sl"), C.arr_append(a, 9).alias("ap"), C.arr_prepend(a, 9).alias("pr"),
         C.arr_insert(a, 2, 7).alias("ins"), C.arr_remove(a, 3).alias("rm"), C.arr_sort(C.array_union(a, b)).alias("un"), C.arr_sort(C.array_except(a, b)).alias("ex"), C.arr_sort(C.array_intersect(a, b)).alias("it"), C.arr_sort(C.arr_distinct(a)).alias("di"),
         C.arr_flatten(C.array(a, b)).alias("fl"), C.arr_reverse(a).alias("rv"), C.arr_sort(a).alias("so"), C.arr_compact(C.array(a[0], F.lit(None).cast("int"), a[1])).alias("co"), C.array_repeat(v, 2).alias("re"), C.sequence(F.lit(1), F.lit(5), F.lit(2)).cast("array<bigint>").alias("sq"),
     )
 
 
-@BOOK.query(f"""SELECT vec_id, list_transform(a, lambda x: x * 2) AS tr, list_transform(a, lambda x, i: x + i - 1) AS tri, list_filter(a, lambda x: x > 0) AS fi, len(list_filter(a, lambda x: x > 15)) > 0 AS ex, len(list_filter(a, lambda x: x > -40)) = 6 AS fa,
-      list_transform(list_zip(a[1:5], b), lambda p: p[1] * p[2]) AS zw, list_sum(a)::INT + 10 AS ag, list_reverse_sort(list_transform(a, lambda x: abs(x))) AS sb FROM {_E}""")
+@BOOK.query(f"""SELECT vec_id, list_transform(a, lambda x: x * 2) AS tr, list_transform(a, lambda x, i: x + i - 1) AS tri, list_filter(a, lambda x: x > 0) AS fi, len(list_filter(a, lambda x: x > 15)) > 0 AS ex, len(list_filter(a, lambda x: x > -40)) = len(a) AS fa,
+      list_transform(list_zip(a, b), lambda p: p[1] * p[2]) AS zw, list_sum(a)::INT + 10 AS ag, list_reverse_sort(list_transform(a, lambda x: abs(x))) AS sb FROM {_E}""")
 def higher_order_functions(t: Tables) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     total = C.arr_aggregate(a, F.lit(0), lambda s, x: s + x, lambda s: s + 10)
     return _arrays(t).select(
         "vec_id", C.arr_transform(a, lambda x: x * 2).alias("tr"), C.arr_transform(a, lambda x, i: x + i).alias("tri"), C.arr_filter(a, lambda x: x > 0).alias("fi"), C.arr_exists(a, lambda x: x > 15).alias("ex"), C.arr_forall(a, lambda x: x > -40).alias("fa"),
-        C.arr_zip_with(F.slice(a, 1, 5), b, lambda x, y: x * y).alias("zw"), total.alias("ag"), C.arr_transform(C.arr_sort_by(a, lambda x: F.abs(x), descending=True), lambda x: F.abs(x)).alias("sb"),
+        C.arr_zip_with(a, b, lambda x, y: x * y).alias("zw"), total.alias("ag"), C.arr_transform(C.arr_sort_by(a, lambda x: F.abs(x), descending=True), lambda x: F.abs(x)).alias("sb"),
     )
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, columns, custom, pipelines, relational, streams
+from . import analytics, columns, custom, forms, pipelines, relational, streams
 
-BOOKS = (relational.BOOK, analytics.BOOK, columns.BOOK, custom.BOOK, streams.BOOK, pipelines.BOOK)
+BOOKS = (relational.BOOK, analytics.BOOK, columns.BOOK, custom.BOOK, streams.BOOK, pipelines.BOOK, forms.BOOK)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -83,9 +83,9 @@ def exists(t: Tables) -> DataFrame:
     return J.exists(t.customer, t.orders.where("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey")
 
 
-@BOOK.query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@BOOK.query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def not_exists(t: Tables) -> DataFrame:
-    return J.not_exists(t.customer, t.orders, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_name")
+    return J.not_exists(t.customer, t.orders.where("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_name")
 
 
 @BOOK.query("""SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT * FROM orders
