@@ -44,6 +44,9 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = MAX
 BANDS, ROWS = tune()
 #: Buckets of more members are compared in parts of about so many; up to FEW members are compared pair by pair.
 BLOCK, FEW = 4096, 64
+#: A bucket with this share of the band rows of one document in SAMPLE is hot: its statistics are partial sums, and its rows aren't brought together.
+#: Either way gives the same result, so what the sample misses costs time only. There are at most 1 / HOT_SHARE hot buckets.
+HOT_SHARE, SAMPLE = 0.001, 64
 #: Words by which a copy may have drifted within a paragraph, and the words inside its edges that are looked at to tell.
 SHIFT, INSIDE = 2, 4
 
@@ -116,6 +119,22 @@ def band_rows(docs: DataFrame) -> DataFrame:
     return map_chunks(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), "text", run, "bucket long, content long, doc_id long, word int")
 
 
+def shared_rows(docs: DataFrame) -> DataFrame:
+    """(bucket, content, doc_id, word, several) of the buckets that more than one document has; several: that more than one content has."""
+    rows = band_rows(docs)
+    counted = write(band_rows(docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SAMPLE)) == 0)).groupBy("bucket").count())
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    hot = write(counted.where(F.col("count") >= max(2, HOT_SHARE * total)).select("bucket"))
+    figures = {"lo": F.min("doc_id"), "hi": F.max("doc_id"), "hub": F.min("content"), "top": F.max("content")}
+    live = lambda df: df.where("lo <> hi").select("bucket", "content", "doc_id", "word", (F.col("hub") != F.col("top")).alias("several"))
+    bucket = Window.partitionBy("bucket")
+    together = lambda df: live(df.select("*", *[f.over(bucket).alias(n) for n, f in figures.items()]))
+    if not hot.count():
+        return together(rows)
+    known = write(rows.join(F.broadcast(hot), "bucket").groupBy("bucket").agg(*[f.alias(n) for n, f in figures.items()]))  # broadcast: at most 1 / HOT_SHARE rows
+    return together(rows.join(F.broadcast(hot), "bucket", "left_anti")).unionAll(live(rows.join(F.broadcast(known), "bucket")))
+
+
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(content, items): the hashed word pairs of the wanted (content, doc_id, word), read from the texts again."""
     places = Table(wanted.groupBy("doc_id").agg(F.collect_list("word").alias("words")))
@@ -316,12 +335,10 @@ def repeated_passages(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataF
     empty table gives no rows.
     """
     with scratch() as settle:
-        bucket = Window.partitionBy("bucket")
-        spread = band_rows(docs).select("*", F.min("doc_id").over(bucket).alias("lo"), F.max("doc_id").over(bucket).alias("hi"), F.min("content").over(bucket).alias("hub"), F.max("content").over(bucket).alias("top"))
-        shared = write(spread.where("lo <> hi").select("bucket", "content", "doc_id", "word", "hub", "top"))
+        shared = write(shared_rows(docs))
         nodes = write(shared.groupBy("content").agg(F.min(F.struct("doc_id", "word")).alias("at"), F.max("doc_id").alias("last")))
         where = nodes.select("content", "at.doc_id", "at.word")
-        members = write(shared.where("hub <> top").select("bucket", "content").distinct())
+        members = write(shared.where("several").select("bucket", "content").distinct())
         roots = write(components(_near(members, where, docs, threshold).distinct()))
         found = shared.select("content", "doc_id", "word").distinct()
         # contents that one document has and that are like no other stay out before anything is sorted
