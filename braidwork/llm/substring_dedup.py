@@ -44,9 +44,9 @@ def tune(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = MAX
 BANDS, ROWS = tune()
 #: Buckets of more members are compared in parts of about so many; up to FEW members are compared pair by pair.
 BLOCK, FEW = 4096, 64
-#: A bucket with this share of the band rows of one document in SAMPLE is hot: its statistics are partial sums, and its rows aren't brought together.
-#: Either way gives the same result, so what the sample misses costs time only. There are at most 1 / HOT_SHARE hot buckets.
-HOT_SHARE, SAMPLE = 0.001, 64
+#: A bucket of about this many band rows, counted on one document in SAMPLE, is hot: its statistics are partial sums, and its rows aren't brought
+#: together in one task. Either way gives the same result, so what the sample misses costs time only.
+HOT_ROWS, SAMPLE = 4_000_000, 64
 #: Words by which a copy may have drifted within a paragraph, and the words inside its edges that are looked at to tell.
 SHIFT, INSIDE = 2, 4
 
@@ -122,17 +122,17 @@ def band_rows(docs: DataFrame) -> DataFrame:
 def shared_rows(docs: DataFrame) -> DataFrame:
     """(bucket, content, doc_id, word, several) of the buckets that more than one document has; several: that more than one content has."""
     rows = band_rows(docs)
-    counted = write(band_rows(docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SAMPLE)) == 0)).groupBy("bucket").count())
-    total = counted.agg(F.sum("count")).first()[0] or 0
-    hot = write(counted.where(F.col("count") >= max(2, HOT_SHARE * total)).select("bucket"))
+    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SAMPLE)) == 0)
+    hot = write(band_rows(sample).groupBy("bucket").count().where(F.col("count") * SAMPLE >= HOT_ROWS).select("bucket"))
     figures = {"lo": F.min("doc_id"), "hi": F.max("doc_id"), "hub": F.min("content"), "top": F.max("content")}
     live = lambda df: df.where("lo <> hi").select("bucket", "content", "doc_id", "word", (F.col("hub") != F.col("top")).alias("several"))
     bucket = Window.partitionBy("bucket")
     together = lambda df: live(df.select("*", *[f.over(bucket).alias(n) for n, f in figures.items()]))
-    if not hot.count():
+    if not (n := hot.count()):
         return together(rows)
-    known = write(rows.join(F.broadcast(hot), "bucket").groupBy("bucket").agg(*[f.alias(n) for n, f in figures.items()]))  # broadcast: at most 1 / HOT_SHARE rows
-    return together(rows.join(F.broadcast(hot), "bucket", "left_anti")).unionAll(live(rows.join(F.broadcast(known), "bucket")))
+    small = (lambda df: F.broadcast(df)) if n <= BROADCAST_ROWS else (lambda df: df)
+    known = write(rows.join(small(hot), "bucket").groupBy("bucket").agg(*[f.alias(x) for x, f in figures.items()]))
+    return together(rows.join(small(hot), "bucket", "left_anti")).unionAll(live(rows.join(small(known), "bucket")))
 
 
 def _sets(wanted: DataFrame, docs: DataFrame) -> DataFrame:

@@ -437,8 +437,8 @@ def test_spans_cover_whole_passages(spark):
         assert any(a <= at and a + k >= at + n for a, k in spans)
 
 
-@pytest.mark.parametrize("share", [0.0, 0.002, 1.0])
-def test_hot_buckets_give_the_same_rows(spark, monkeypatch, share):
+@pytest.mark.parametrize("least", [0, 25, 10**6])
+def test_hot_buckets_give_the_same_rows(spark, monkeypatch, least):
     rng = random.Random(19)
     common, other = words(rng, 60), words(rng, 60)
     docs = table(spark, [(i // 2 if i < 20 else i, f"{words(rng, 30)} {common if i % 3 else other} {words(rng, 10)}", "s") for i in range(120)])
@@ -447,7 +447,7 @@ def test_hot_buckets_give_the_same_rows(spark, monkeypatch, share):
         plainly.setdefault(r.bucket, []).append((r.content, r.doc_id, r.word))
     want = sorted((b, *row, len({c for c, _, _ in rows}) > 1) for b, rows in plainly.items() if len({d for _, d, _ in rows}) > 1 for row in rows)
     monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
-    monkeypatch.setattr(substring_dedup, "HOT_SHARE", share)
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", least)
     assert sorted(map(tuple, substring_dedup.shared_rows(docs).collect())) == want and want
 
 
