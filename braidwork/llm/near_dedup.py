@@ -37,7 +37,7 @@ THRESHOLD = 0.6
 #: A pair whose estimate is this far below the threshold is not verified: about four standard errors of 80 registers.
 SLACK = 0.2
 #: Id lists up to this many rows are broadcast, larger ones joined by a shuffle; so are texts with their groups.
-BROADCAST_ROWS, BROADCAST_TEXTS = 2_000_000, 500_000
+BROADCAST_ROWS, BROADCAST_TEXTS = 2_000_000, 200_000
 _HAS_WORD = r"[A-Za-z0-9]|[^\x00-\x7F]"
 
 
