@@ -13,6 +13,8 @@ from .names import unused
 
 STRATEGIES = {"broadcast_hash": "broadcast", "shuffle_hash": "shuffle_hash", "sort_merge": "merge", "shuffle_replicate_nl": "shuffle_replicate_nl"}
 HOW = ("left", "inner", "right", "full", "cross")
+#: Rows of the side with values that band_join broadcasts; beyond, both sides are shuffled, the other one in so many parts of each bin.
+BAND_ROWS, BAND_PARTS = 1_000_000, 16
 
 
 def _hinted(df: DataFrame, strategy: str | None) -> DataFrame:
@@ -52,6 +54,31 @@ def cross_join(left: DataFrame, right: DataFrame, *, allow_cartesian: bool = Fal
     return left.crossJoin(right)
 
 
+def band_join(left: DataFrame, right: DataFrame, low: Column, high: Column, value: Column, *, width: float) -> DataFrame:
+    """The pairs with low < value < high; low and high are of left, value is of right. Nulls and NaN don't match.
+
+    An equi-join by bins of the given width, which a left row has all of that its band touches, so width is best the usual high - low. Left rows are dealt out to
+    tasks, as few bins may have all of them; a right side of up to BAND_ROWS rows, counted here, is broadcast.
+    """
+    batch_only(left, "band_join")
+    batch_only(right, "band_join")
+    columns = [*left.columns, *right.columns]
+    lo, hi, at, bin, part = (unused(n, columns) for n in ("low", "high", "value", "bin", "part"))
+    number = lambda c: F.floor(c.cast("double") / width)
+    spark = left.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bands = left.select("*", low.alias(lo), high.alias(hi)).where((F.col(lo) < F.col(hi)) & ~F.isnan(F.col(hi).cast("double"))).repartition(tasks)
+    bands = bands.select("*", F.explode(F.sequence(number(F.col(lo)), number(F.col(hi)))).alias(bin))
+    values = right.select("*", value.alias(at)).where(F.col(at).isNotNull() & ~F.isnan(F.col(at).cast("double"))).withColumn(bin, number(F.col(at)))
+    if values.count() <= BAND_ROWS:
+        joined = bands.join(F.broadcast(values), bin)
+    else:
+        bands = bands.withColumn(part, F.floor(F.rand(0) * BAND_PARTS)).repartition(tasks, bin, part)
+        values = values.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BAND_PARTS - 1).cast("long")))).repartition(tasks, bin, part)
+        joined = bands.join(values.hint("merge"), [bin, part])
+    return joined.where((F.col(lo) < F.col(at)) & (F.col(at) < F.col(hi))).drop(lo, hi, at, bin, part)
+
+
 def param_join(df: DataFrame, parameters: DataFrame) -> DataFrame:
     """df with the columns of the one row of parameters. The check is left out for streams."""
     one = parameters if df.isStreaming else exactly_one(parameters)

@@ -103,8 +103,8 @@ def self_join(t: Tables) -> DataFrame:
 
 @BOOK.query("""SELECT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON p.p_size * 100 < s.s_acctbal AND s.s_acctbal < p.p_size * 100 + 50""")
 def theta_join(t: Tables) -> DataFrame:
-    on = (F.col("p_size") * 100 < F.col("s_acctbal")) & (F.col("s_acctbal") < F.col("p_size") * 100 + 50)
-    return J.rowset_join(t.part, t.supplier, on).select("p_partkey", "s_suppkey")
+    low = F.col("p_size") * 100
+    return J.band_join(t.part.select("p_partkey", "p_size"), t.supplier.select("s_suppkey", "s_acctbal"), low, low + 50, F.col("s_acctbal"), width=50).select("p_partkey", "s_suppkey")
 
 
 _VERSIONS = """(SELECT user_id, value AS price, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS valid_to FROM events WHERE event_type = 'signup')"""

@@ -13,6 +13,7 @@ from braidwork.operators import hierarchy as H
 from braidwork.operators import joins as J
 from braidwork.operators import relations as R
 from braidwork.operators import scan as S
+from braidwork.plans import registry
 from braidwork.sources import readers
 from braidwork.streaming import streams as T
 
@@ -285,3 +286,23 @@ def test_folds_in_chunks_of_any_length(spark):
         for _, i, v in [r for r in rows if r[0] == k]:
             assert got[k, i] == pytest.approx(state)
             state = state * 0.5 + v
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_band_join_meets_bins_and_not_all_rows(spark, monkeypatch, broadcast):
+    nan = float("nan")
+    bands = [(1, 0.0, 10.0), (2, -7.5, 31.0), (3, 10.0, 10.0), (4, None, 5.0), (5, 9.0, 3.0), (6, -10.0, 0.0), (7, nan, 4.0), (8, 2.0, nan), (1, 0.0, 10.0)]
+    values = [(i, v) for i, v in enumerate([-10.0, -7.5, -0.1, 0.0, 0.1, 9.99, 10.0, 30.9, 31.0, None, 5.0, 5.0, nan])]
+    if not broadcast:
+        monkeypatch.setattr(J, "BAND_ROWS", 0)
+    left, right = spark.createDataFrame(bands, "bin long, lo double, hi double"), spark.createDataFrame(values, "id long, low double")
+    out = J.band_join(left, right, F.col("lo"), F.col("hi"), F.col("low"), width=10)
+    assert out.columns == ["bin", "lo", "hi", "id", "low"]
+    want = [(b, i) for b, lo, hi in bands for i, v in values if None not in (lo, hi, v) and lo < v < hi]
+    assert sorted((r["bin"], r["id"]) for r in out.collect()) == sorted(want)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_theta_join_compares_no_row_with_all(spark, folder):
+    plan = registry.queries()["theta_join"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
