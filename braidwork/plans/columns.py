@@ -87,7 +87,7 @@ _E = "(SELECT vec_id, list_transform(embedding, lambda x: (x * 100)::INT) AS a,
 
 
 def _arrays(t: Tables) -> DataFrame:
-    whole = lambda items, by: F.transform(items, lambda x: F.rint(x * by).cast("int"))
+    whole = lambda items, by: F.transform(items, lambda x: F.rint(x * F.lit(by).cast("float")).cast("int"))  # noqa: E731  # as float: a double product rounds otherwise near halves
     return t.embeddings.select("vec_id", whole("embedding", 100).alias("a"), whole(F.reverse("embedding"), 50).alias("b"))
 
 

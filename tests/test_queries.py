@@ -59,6 +59,21 @@ def test_query_is_its_sql_at_the_next_size(spark, name):
     test_query_is_its_sql(spark, con, folder, name)
 
 
+@pytest.mark.parametrize("name", ["array_functions"])
+def test_halves_round_as_in_sql(spark, tmp_path, name):
+    halves = [x for k in range(-60, 60) for x in ((k + 0.5) / 100, (k + 0.5) / 50)]
+    for t in TABLES:
+        if t != "embeddings":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    rows = [(i, halves[i : i + 64], 0) for i in range(0, len(halves) - 64, 16)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/out")
+    next((tmp_path / "out").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    test_query_is_its_sql(spark, con, str(tmp_path), name)
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, folder, name):
     assert registry.queries()[name](spark, folder).count() > 0
