@@ -59,7 +59,7 @@ def test_query_is_its_sql_at_the_next_size(spark, name):
     test_query_is_its_sql(spark, con, folder, name)
 
 
-@pytest.mark.parametrize("name", ["array_functions"])
+@pytest.mark.parametrize("name", ["array_functions", "higher_order_functions"])
 def test_halves_round_as_in_sql(spark, tmp_path, name):
     halves = [x for k in range(-60, 60) for x in ((k + 0.5) / 100, (k + 0.5) / 50)]
     for t in TABLES:
