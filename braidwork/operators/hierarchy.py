@@ -24,13 +24,30 @@ def hierarchy_closure(df: DataFrame, id: str, parent: str, *, max_depth: int, no
     return out.drop("next_")
 
 
+def _farther(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Steps of b behind steps of a; both are (from_, to_)."""
+    return a.select("from_", F.col("to_").alias("over_")).join(b.select(F.col("from_").alias("over_"), "to_"), "over_").select("from_", "to_")
+
+
+def _ancestors(edges: DataFrame, steps: int) -> DataFrame:
+    """(from_, to_): each node with its ancestor so many steps up, by doubling: the joins are twice the digits of steps at most, not as many as steps."""
+    out = None
+    while True:
+        if steps % 2:
+            out = edges if out is None else _farther(out, edges)
+        steps //= 2
+        if not steps:
+            return out
+        edges = _farther(edges, edges)
+
+
 def require_parent_hierarchy(df: DataFrame, id: str, parent: str, *, order_by: str, max_depth: int) -> DataFrame:
     """df, if every parent has a row, no path is longer than max_depth (cycles are), and each child's order is greater than its parent's."""
     rows = df.select(F.col(id).alias("id_"), F.col(parent).alias("up_"), F.col(order_by).alias("order_"))
     parents = rows.select(F.col("id_").alias("p_id_"), F.col("order_").alias("p_order_"))
     children = rows.where("up_ is not null")
     bad = children.join(parents, F.col("up_") == F.col("p_id_"), "left").where("p_id_ is null or not coalesce(order_ > p_order_, false)").select("id_")
-    deep = hierarchy_closure(df, id, parent, max_depth=max_depth + 1).where(F.col("depth") > max_depth).select(F.col("node_id").alias("id_"))
+    deep = _ancestors(children.select(F.col("id_").alias("from_"), F.col("up_").alias("to_")), max_depth + 1).select(F.col("from_").alias("id_"))
     return _with_guard(df, bad.unionByName(deep), "HIERARCHY", "missing parent, cycle, too deep, or out of order")
 
 

@@ -306,3 +306,16 @@ def test_band_join_meets_bins_and_not_all_rows(spark, monkeypatch, broadcast):
 def test_theta_join_compares_no_row_with_all(spark, folder):
     plan = registry.queries()["theta_join"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("deepest", range(1, 12))
+def test_hierarchy_depth_is_exact(spark, deepest):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(deepest + 1)] + [(100, None), (101, 100)], "id long, parent long")
+    assert H.require_parent_hierarchy(chain, "id", "parent", order_by="id", max_depth=deepest).count() == deepest + 3
+    with pytest.raises(Exception, match="HIERARCHY"):
+        H.require_parent_hierarchy(chain, "id", "parent", order_by="id", max_depth=deepest - 1).count()
+
+
+def test_hierarchy_depth_takes_few_joins(spark, folder):
+    plan = registry.queries()["checked_hierarchy"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") < 40 and H._ancestors(spark.createDataFrame([(i + 1, i) for i in range(30)], "from_ long, to_ long"), 21).count() == 10
