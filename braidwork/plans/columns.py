@@ -107,10 +107,11 @@ def array_functions(t: Tables) -> DataFrame:
       list_transform(list_zip(a, b), lambda p: p[1] * p[2]) AS zw, list_sum(a)::INT + 10 AS ag, list_reverse_sort(list_transform(a, lambda x: abs(x))) AS sb FROM {_E}""")
 def higher_order_functions(t: Tables) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    total = C.arr_aggregate(a, F.lit(0), lambda s, x: s + x, lambda s: s + 10)
+    total = C.arr_aggregate(a, F.lit(None).cast("bigint"), lambda s, x: F.coalesce(s + x, s, x), lambda s: s.cast("int") + 10)  # as in SQL: without nulls, null of no items
+    zipped = F.coalesce(C.arr_zip_with(a, b, lambda x, y: x * y), F.array().cast("array<int>"))  # as in SQL: empty for no arrays
     return _arrays(t).select(
-        "vec_id", C.arr_transform(a, lambda x: x * 2).alias("tr"), C.arr_transform(a, lambda x, i: x + i).alias("tri"), C.arr_filter(a, lambda x: x > 0).alias("fi"), C.arr_exists(a, lambda x: x > 15).alias("ex"), C.arr_forall(a, lambda x: x > -40).alias("fa"),
-        C.arr_zip_with(a, b, lambda x, y: x * y).alias("zw"), total.alias("ag"), C.arr_transform(C.arr_sort_by(a, lambda x: F.abs(x), descending=True), lambda x: F.abs(x)).alias("sb"),
+        "vec_id", C.arr_transform(a, lambda x: x * 2).alias("tr"), C.arr_transform(a, lambda x, i: x + i.cast("bigint")).alias("tri"), C.arr_filter(a, lambda x: x > 0).alias("fi"), C.arr_exists(a, lambda x: x.isNotNull() & (x > 15)).alias("ex"),
+        C.arr_forall(a, lambda x: x.isNotNull() & (x > -40)).alias("fa"), zipped.alias("zw"), total.alias("ag"), C.arr_transform(C.arr_sort_by(a, lambda x: F.abs(x), descending=True), lambda x: F.abs(x)).alias("sb"),
     )
 
 

@@ -4,6 +4,7 @@ import datetime
 import decimal
 import math
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -74,6 +75,21 @@ def test_halves_round_as_in_sql(spark, tmp_path, name):
     test_query_is_its_sql(spark, con, str(tmp_path), name)
 
 
+@pytest.mark.parametrize("name", ["array_functions", "higher_order_functions"])
+def test_array_columns_have_the_types_of_sql(spark, duck, folder, name):
+    got = {c: re.sub(r"\bINT\b", "INTEGER", re.sub(r"^array<(.+)>$", r"\1[]", kind).upper()) for c, kind in registry.queries()[name](spark, folder).dtypes}
+    assert got == {c: kind for c, kind, *_ in duck.execute(f"DESCRIBE {registry.oracle_sql()[name]}").fetchall()}
+
+
+def test_higher_order_functions_of_no_items_and_nulls_are_as_in_sql(spark, tmp_path):
+    odd = [[], None, [None], [None, None], [0.1, None, 0.3], [None, 0.2, -0.5], [-0.6, None], [0.05], [0.2, -0.2, 0.0, -0.0], [0.16], [-0.41]]
+    spark.createDataFrame([(i, x, 0) for i, x in enumerate(odd)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/out")
+    next((tmp_path / "out").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet')")
+    test_query_is_its_sql(spark, con, str(tmp_path), "higher_order_functions")
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_without_sql_runs(spark, folder, name):
     assert registry.queries()[name](spark, folder).count() > 0
